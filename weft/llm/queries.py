@@ -4,10 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm import exact_dedup, simhash
+from weft.llm import chat, decontaminate, exact_dedup, mixing, simhash
 from weft.llm.common import documents
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(documents(spark, sf_dir))
 
@@ -16,9 +31,52 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mixing, op5_exact_dedup, op10_simhash_near_dedup)}
 
 SQL = {
+    "op3_chat_format": r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (7 + sum(16 + length(role) + length(regexp_replace(role, '[^<\\]', '', 'g')) + length(text) + length(regexp_replace(text, '[^<\\]', '', 'g'))))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op4_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+sw AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::BIGINT AS w FROM s),
+f AS (
+  SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS words,
+         (sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS sum_w
+  FROM sw),
+o AS (SELECT max(sum_w) AS ow, arg_max(words, sum_w) AS owords FROM f WHERE words * w < 3 * source_size * sum_w),
+t AS (SELECT source, source_size, CASE WHEN sum_w <= ow THEN (owords * w)::DOUBLE / ow ELSE 3.0::DOUBLE * source_size END AS target FROM f, o),
+dl AS (SELECT *, (64 - CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END)::BIGINT AS w FROM d),
+l AS (SELECT dl.source, w, sum(size)::BIGINT AS words, any_value(target) AS target FROM dl JOIN t ON dl.source IS NOT DISTINCT FROM t.source GROUP BY dl.source, w HAVING sum(size) > 0),
+lf AS (
+  SELECT *, target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS rem,
+         (sum(w * words) OVER (PARTITION BY source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS ww
+  FROM l),
+lo AS (SELECT source, max(w) AS ow, arg_max(rem, w) AS orem, arg_max(ww, w) AS oww FROM lf WHERE rem * w < 3 * ww GROUP BY source),
+le AS (
+  SELECT lf.source, lf.w, lf.words, lf.target, coalesce(CASE WHEN lf.w <= ow THEN orem * lf.w / oww END, 3.0::DOUBLE) AS e
+  FROM lf LEFT JOIN lo ON lf.source IS NOT DISTINCT FROM lo.source),
+r AS (SELECT source, any_value(target) - sum(floor(e)::BIGINT * words)::BIGINT AS rest FROM le GROUP BY source),
+x AS (
+  SELECT dl.doc_id, dl.source, dl.size, t.source_size, t.target, floor(coalesce(e, 0))::BIGINT AS certain, e - floor(e) AS part, rest,
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM dl JOIN t ON dl.source IS NOT DISTINCT FROM t.source
+  LEFT JOIN le ON dl.source IS NOT DISTINCT FROM le.source AND dl.w = le.w AND dl.size > 0
+  LEFT JOIN r ON dl.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, CASE WHEN part > 0 AND size > 0 THEN u / (1 - u) / (part / (1 - part)) END AS rnk FROM x),
+c AS (SELECT *, coalesce(sum(size) FILTER (rnk IS NOT NULL) OVER (PARTITION BY source ORDER BY rnk NULLS LAST, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM k)
+SELECT doc_id, size, source_size, target,
+       size * (certain + CASE WHEN rnk IS NOT NULL AND bef + size / 2 <= rest THEN 1 ELSE 0 END) AS taken
+FROM c""",
     "op5_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars,
