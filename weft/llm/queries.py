@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weft.llm import chat, decontaminate, exact_dedup, mixing, simhash
+from weft.llm import chat, decontaminate, exact_dedup, language, line_dedup, lm_score, mixing, pii, simhash, tokens
 from weft.llm.common import documents
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(documents(spark, sf_dir)).drop("found")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -27,13 +32,49 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup_exact(documents(spark, sf_dir))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(documents(spark, sf_dir))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language.identify_documents(docs, language.learn(docs)).select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    return lm_score.score(documents(spark, sf_dir), held_out)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir), with_text=False)
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed_lines"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_chat_format, op4_mixing, op5_exact_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontaminate, op3_chat_format, op4_mixing, op5_exact_dedup, op6_token_counts, op7_language_id, op8_lm_score, op9_line_dedup, op10_simhash_near_dedup)}
 
 SQL = {
+    "op9_line_dedup": r"""
+WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS line_no FROM s),
+t AS (SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS words FROM l),
+w AS (SELECT * FROM t WHERE len(words) > 0),
+f AS (SELECT words, min((doc_id, line_no)) AS place FROM w GROUP BY words),
+r AS (SELECT row_number() OVER (ORDER BY place) AS id, words, len(words) AS n FROM f),
+e AS (SELECT id, n, unnest(words) AS word FROM r),
+p AS (
+  SELECT y.id FROM e x JOIN e y ON x.word = y.word AND x.id < y.id AND x.n * 5 >= y.n * 4 AND y.n * 5 >= x.n * 4
+  GROUP BY y.id, x.id, x.n, y.n HAVING count(*) * 5 >= 4 * (x.n + y.n - count(*))),
+g AS (
+  SELECT w.doc_id, w.line_no FROM w JOIN f USING (words) JOIN r USING (words)
+  WHERE (w.doc_id, w.line_no) <> f.place OR r.id IN (SELECT id FROM p)),
+a AS (SELECT doc_id, count(*) AS n, string_agg(line_no::VARCHAR, ',' ORDER BY line_no) AS gone FROM g GROUP BY doc_id)
+SELECT s.doc_id, len(lines)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed, coalesce(gone, '') AS removed_lines
+FROM s LEFT JOIN a ON s.doc_id = a.doc_id""",
     "op3_chat_format": r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
