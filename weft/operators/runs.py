@@ -49,7 +49,7 @@ def queue(items: DataFrame, passes: int, order: str) -> DataFrame:
     """instance_key and queue_index of every item in every pass."""
     n = items.count()
     rank = F.row_number().over(Window.orderBy(order)).cast("long")
-    rows = items.withColumn("pos", rank).withColumn("pass_index", F.explode(F.sequence(F.lit(1), F.lit(passes))).cast("long"))
+    rows = items.withColumn("pos", rank).withColumn("pass_index", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(passes).cast("long"))))
     key = F.format_string("pass-%04d:simulation-%06d", "pass_index", "pos")
     return rows.withColumn("queue_index", (F.col("pass_index") - 1) * n + F.col("pos")).withColumn("instance_key", key)
 
