@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from weft.llm.simhash import components, forest, links, near_duplicates, simhashes
+from weft.llm.simhash import components, forest, links, near_duplicates, simhashes, table_entries
 
 
 def brute_fingerprint(text, k=3):
@@ -77,6 +77,16 @@ def test_links_connect_as_all_pairs_do(spark, radius, segments):
     assert got == want
 
 
+def test_table_entries_are_the_downward_balls(spark):
+    fps = [0, -1, 0x00000003_80000001, 5]
+    got = sorted(tuple(r) for r in table_entries(spark.createDataFrame([(x,) for x in fps], "fp long"), 3, 2).collect())
+    want = []
+    for x in fps:
+        for i, v in enumerate((x & 0xFFFFFFFF, x >> 32 & 0xFFFFFFFF)):
+            want += [(i, v, x)] + [(i, v ^ 1 << b, x) for b in range(32) if v >> b & 1]
+    assert got == sorted(want)
+
+
 def test_crowded_entries_are_dealt_in_blocks(spark, monkeypatch):
     import weft.llm.simhash as m
 

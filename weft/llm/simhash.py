@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.common import checkpointed
@@ -89,6 +89,11 @@ def _masks(width: int, ball: int) -> list[int]:
     return [sum(1 << b for b in c) for n in range(ball + 1) for c in combinations(range(width), n)]
 
 
+def _reach(value: Column, masks: Column) -> Column:
+    """The value with the bits of each mask cleared that holds one bits of it only."""
+    return F.transform(F.filter(masks, lambda m: m.bitwiseAND(value) == m), lambda m: value.bitwiseXOR(m))
+
+
 def table_entries(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     """(segment int, value long, fp long): the entries of every fingerprint in the tables of all segments."""
     cuts = [64 * i // segments for i in range(segments + 1)]
@@ -96,8 +101,7 @@ def table_entries(fps: DataFrame, radius: int, segments: int) -> DataFrame:
     for i, (lo, hi) in enumerate(zip(cuts, cuts[1:])):
         value = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(hi - lo, radius // segments)])
-        reach = F.transform(F.filter(masks, lambda m, v=value: m.bitwiseAND(v) == m), lambda m, v=value: v.bitwiseXOR(m))
-        parts.append(fps.select(F.lit(i).alias("segment"), F.explode(reach).alias("value"), "fp"))
+        parts.append(fps.select(F.lit(i).alias("segment"), F.explode(_reach(value, masks)).alias("value"), "fp"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
