@@ -27,6 +27,7 @@ from weft.llm.common import SPACE, WORD_RE, checkpointed, table, text_or_empty
 SIMILARITY = 0.8
 RARITY_BITS = 22
 RAREST = 3
+FILTER_BITS = 25
 _HASH = (1 << 56) - 1
 
 
@@ -92,11 +93,30 @@ def _earlier() -> Column:
     return place("x") < place("y")
 
 
+def _spot(doc_id: str, line_no: str) -> Column:
+    """A line's bit among 2^FILTER_BITS."""
+    return F.xxhash64(doc_id, line_no).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+
+
+def bitmap(lines: DataFrame) -> DataFrame:
+    """One row, one binary: a bit for each of lines(doc_id, line_no), of a fixed size."""
+    spots = lines.select(_spot("doc_id", "line_no").alias("s"))
+    pieces = spots.groupBy(F.shiftright("s", 15).alias("p")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit((1 << 15) - 1))).alias("b"))
+    none = lines.sparkSession.range(1 << FILTER_BITS - 15).select(F.col("id").alias("p"), F.unhex(F.lit("00" * 4096)).alias("b"))
+    whole = pieces.unionByName(none).groupBy("p").agg(F.bitmap_or_agg("b").alias("b"))
+    hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", F.hex("b").alias("h")))), lambda x: x["h"]), "")
+    return checkpointed(whole.agg(F.unhex(hexed).alias("b")))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(doc_id, line_no, k1) of the later lines of those pairs (x, y structs of these three) that are similar on their whole token sets."""
     pairs = checkpointed(pairs.distinct())
     where = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
-    at = lines_of(docs).alias("l").join(where.select("doc_id", "line_no").distinct().alias("w"), F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
+    # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
+    spot = _spot("doc_id", "line_no")
+    byte = F.conv(F.hex(F.substring(bitmap(where).scalar(), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    at = lines_of(docs).where(set_).alias("l").join(where.select("doc_id", "line_no").distinct().alias("w"), F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
     sets = at.select("l.doc_id", "l.line_no", F.sort_array(_tokens(F.col("line"))).alias("set")).distinct()
     is_ = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))) & (F.col(f"{a}.line_no") == F.col(f"{b}.line_no"))
     with_x = pairs.join(sets.alias("sx"), is_("x", "sx")).select("x", "y", F.col("sx.set").alias("a"))
@@ -123,18 +143,20 @@ def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     return settled.unionByName(verified(pairs.select(id_("x"), id_("y")), docs, t))
 
 
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, rarity_bits: int = RARITY_BITS) -> DataFrame:
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, rarity_bits: int | None = None) -> DataFrame:
     """doc_id, th, removed (sorted line numbers) of the documents that lose lines."""
     lines = lines_of(docs)
-    signed = table(signed_lines(lines, rarity_sketch(lines, rarity_bits), rarity_bits, similarity))
-    first = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"))
-    placed = signed.join(first, ["k1", "k2"]).withColumn("is_first", F.struct("doc_id", "line_no").eqNullSafe(F.col("f")))
-    later = later_lines(signed.join(first, ["k1", "k2"]).where(F.struct("doc_id", "line_no").eqNullSafe(F.col("f"))).dropDuplicates(["k1", "k2"]), docs, similarity)
-    gone = placed.join(later.select("k1", F.lit(True).alias("later")), "k1", "left").where(~F.col("is_first") | F.col("later"))
+    bits = RARITY_BITS if rarity_bits is None else rarity_bits
+    signed = table(signed_lines(lines, rarity_sketch(lines, bits), bits, similarity))
+    same = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]  # equal for equal sets
+    firsts = table(signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), *same).select("k1", "k2", "f.*", "n", "parity", "prefix"))
+    later = later_lines(firsts, docs, similarity).select("k1", F.lit(True).alias("later"))
+    flagged = firsts.select("k1", "k2", F.struct("doc_id", "line_no").alias("f")).join(later, "k1", "left")
+    gone = signed.select("doc_id", "th", "line_no", "k1", "k2").join(flagged, ["k1", "k2"]).where(F.col("later") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("f")))
     return gone.select("doc_id", "th", "line_no").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), similarity: float = SIMILARITY, rarity_bits: int = RARITY_BITS, with_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), similarity: float = SIMILARITY, rarity_bits: int | None = None, with_text: bool = True) -> DataFrame:
     """doc_id, text (without the removed lines), n_lines, removed for every row of docs(doc_id, text, ...), with its columns `keep` besides."""
     gone = removed_lines(docs, similarity, rarity_bits)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.xxhash64(text_or_empty()).alias("th"), *keep)
