@@ -62,6 +62,11 @@ def mixed(a: np.ndarray, b) -> np.ndarray:
         return x ^ (x >> np.uint64(29))
 
 
+def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """48-bit hashes of bigrams, in the upper bits: they meet far seldomer than the filter errs."""
+    return mixed(before, words) & ~np.uint64(0xFFFF)
+
+
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     """The hash range, in order of the hashes."""
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
@@ -112,7 +117,7 @@ class Chunk:
         counts[rank[1]] = learned.sum()
         for b, h, c in pieces(hashes, counts, buckets):
             yield "word", b, chunk, h, c
-        pairs = mixed(hashes[history(tokens, lengths, rank[1])[of]], hashes[tokens[of]])
+        pairs = pair_hashes(hashes[history(tokens, lengths, rank[1])[of]], hashes[tokens[of]])
         pairs, n = np.unique(pairs, return_counts=True)
         for b, h, c in pieces(pairs, n, buckets):
             yield "pair", b, chunk, h, c
@@ -260,7 +265,7 @@ def score(docs: DataFrame, held_out, filter_mb: int = FILTER_MB, buckets: int |
                 starts = np.cumsum(lengths) - lengths
                 before = history(tokens, lengths, int(np.searchsorted(hashes, BEGIN_HASH)))
                 single = (counts + 1) / (total + distinct + 1)
-                pairs = mixed(hashes[before], hashes[tokens])
+                pairs = pair_hashes(hashes[before], hashes[tokens])
                 bucket = bucket_of(pairs, buckets)
                 own = np.flatnonzero((bucket >= lo) & (bucket < hi))
                 level = model.levels(pairs[own], bucket[own])
