@@ -22,18 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import SPACE, WORD_RE, checkpointed, table, text_or_empty
+from weft.llm.common import SPACE, WORD_RE, checkpointed, small, table, text_or_empty
 
 SIMILARITY = 0.8
 RARITY_BITS = 22
 RAREST = 3
 FILTER_BITS = 25
+#: Settled lines (three numbers each) are broadcast up to this number of rows, else joined by a shuffle.
+SETTLED_ROWS = 200_000
 _HASH = (1 << 56) - 1
 
 
 def _tokens(line: Column) -> Column:
     """64-bit hashes of a line's distinct lower-cased words."""
-    words = F.filter(F.split(F.lower(line), f"[{SPACE}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(line), f"[{SPACE}]+"), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -79,44 +81,72 @@ def signed_lines(lines: DataFrame, sketch: DataFrame, bits: int, t: float) -> Da
     )
 
 
+def _entries(firsts: DataFrame) -> DataFrame:
+    """An entry for each prefix token, in few and wide columns, as all of them are shuffled: doc_id, tie, parity, at (line number
+    and n) and key (token, position, and whether an earlier similar line is still sought). firsts has a column open."""
+    wide = lambda c: F.col(c).cast("long")
+    each = firsts.where("n > 3").select("doc_id", "line_no", "tie", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token")).where(F.col("token").isNotNull())
+    at = F.shiftleft(wide("line_no"), 32).bitwiseOR(wide("n"))
+    key = F.shiftleft(wide("token"), 32).bitwiseOR(F.shiftleft(wide("pos"), 1)).bitwiseOR(F.col("open").cast("long"))
+    return each.select("doc_id", "tie", "parity", at.alias("at"), key.alias("key"))
+
+
+def _token(s: str) -> Column:
+    return F.shiftright(f"{s}.key", 32)
+
+
+def _n(s: str) -> Column:
+    return F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+
+
+def _pos(s: str) -> Column:
+    return F.shiftright(F.col(f"{s}.key").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+
+
 def _close(t: float) -> Column:
-    """Length, positional and bitmap filters for entries x and y of one token."""
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * (t / (1 + t)) - 1e-9)
-    rest = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    lengths = (F.col("x.n") >= F.lit(t) * F.col("y.n") - 1e-9) & (F.col("y.n") >= F.lit(t) * F.col("x.n") - 1e-9)
+    """Length, positional and bitmap filters for entries x and y of one token; nothing is near a settled line as the later one."""
+    nx, ny = _n("x"), _n("y")
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    rest = F.least(nx - _pos("x"), (ny - _pos("y")) * F.col("y.key").bitwiseAND(F.lit(1)))
+    lengths = (nx >= F.lit(t) * ny - 1e-9) & (ny >= F.lit(t) * nx - 1e-9)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    return lengths & (rest >= need) & (F.col("x.n") + F.col("y.n") - apart >= 2 * need)
+    # The first condition follows from the last; it is the cheapest and leaves few pairs for the others.
+    return (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (rest >= need) & (nx + ny - apart >= 2 * need)
 
 
 def _earlier() -> Column:
-    place = lambda s: F.struct(f"{s}.doc_id", f"{s}.line_no", f"{s}.k1")
+    place = lambda s: F.struct(f"{s}.doc_id", F.shiftright(f"{s}.at", 32).alias("line_no"), f"{s}.tie")
     return place("x") < place("y")
 
 
-def _spot(doc_id: str, line_no: str) -> Column:
-    """A line's bit among 2^FILTER_BITS."""
-    return F.xxhash64(doc_id, line_no).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def _spot(*of: str) -> Column:
+    """A row's bit among 2^FILTER_BITS."""
+    return F.xxhash64(*of).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
 
 
-def bitmap(lines: DataFrame) -> DataFrame:
-    """One row, one binary: a bit for each of lines(doc_id, line_no), of a fixed size."""
-    spots = lines.select(_spot("doc_id", "line_no").alias("s"))
+def bitmap(spots: DataFrame) -> DataFrame:
+    """One row, one binary: a bit for each spot of spots(s), of a fixed size."""
     pieces = spots.groupBy(F.shiftright("s", 15).alias("p")).agg(F.bitmap_construct_agg(F.col("s").bitwiseAND(F.lit((1 << 15) - 1))).alias("b"))
-    none = lines.sparkSession.range(1 << FILTER_BITS - 15).select(F.col("id").alias("p"), F.unhex(F.lit("00" * 4096)).alias("b"))
+    none = spots.sparkSession.range(1 << FILTER_BITS - 15).select(F.col("id").alias("p"), F.unhex(F.lit("00" * 4096)).alias("b"))
     whole = pieces.unionByName(none).groupBy("p").agg(F.bitmap_or_agg("b").alias("b"))
     hexed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", F.hex("b").alias("h")))), lambda x: x["h"]), "")
     return checkpointed(whole.agg(F.unhex(hexed).alias("b")))
 
 
+def maybe_in(rows: DataFrame, some: DataFrame, *on: str) -> DataFrame:
+    """rows without most of those that match none of some(on): what is left of a large side before it is shuffled for a join."""
+    spot = _spot(*on)
+    bits = bitmap(some.select(spot.alias("s"))).scalar()
+    byte = F.conv(F.hex(F.substring(bits, (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line_no, k1) of the later lines of those pairs (x, y structs of these three) that are similar on their whole token sets."""
+    """(doc_id, line_no, tie) of the later lines of those pairs (x, y structs of these three) that are similar on their whole token sets."""
     pairs = checkpointed(pairs.distinct())
     where = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
     # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
-    spot = _spot("doc_id", "line_no")
-    byte = F.conv(F.hex(F.substring(bitmap(where).scalar(), (F.shiftright(spot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    set_ = F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1
-    at = lines_of(docs).where(set_).alias("l").join(where.select("doc_id", "line_no").distinct().alias("w"), F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
+    at = maybe_in(lines_of(docs), where, "doc_id", "line_no").alias("l").join(where.select("doc_id", "line_no").distinct().alias("w"), F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
     sets = at.select("l.doc_id", "l.line_no", F.sort_array(_tokens(F.col("line"))).alias("set")).distinct()
     is_ = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))) & (F.col(f"{a}.line_no") == F.col(f"{b}.line_no"))
     with_x = pairs.join(sets.alias("sx"), is_("x", "sx")).select("x", "y", F.col("sx.set").alias("a"))
@@ -126,20 +156,40 @@ def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     return checkpointed(both.where(similar).select("y.*").distinct())
 
 
+def flagged(firsts: DataFrame, places: DataFrame) -> DataFrame:
+    """firsts with a column hit: whether places(doc_id, line_no, tie), distinct rows, has the line."""
+    p = places.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("tie").alias("p_tie"), F.lit(True).alias("p_hit"))
+    on = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("line_no") == F.col("p_line")) & (F.col("tie") == F.col("p_tie"))
+    return firsts.join(p, on, "left").withColumn("hit", F.coalesce("p_hit", F.lit(False))).drop("p_doc", "p_line", "p_tie", "p_hit")
+
+
+def distinct_lines(signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The first line of each set: k1, k2, c (lines), doc_id, line_no, n, parity, prefix, tie. tie tells lines of one place apart: k1 where a
+    doc_id has several texts, else zero, so that it costs nothing in the shuffles."""
+    same = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]  # equal for equal sets
+    firsts = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("c"), *same).select("k1", "k2", "c", "f.*", "n", "parity", "prefix")
+    texts = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.xxhash64(text_or_empty()).alias("th"))
+    several = checkpointed(texts.groupBy("t_doc").agg((F.min("th") != F.max("th")).alias("several")).where("several"))
+    tied = firsts.join(small(several), F.col("doc_id").eqNullSafe(F.col("t_doc")), "left")
+    return table(tied.withColumn("tie", F.when(F.col("several"), F.col("k1")).otherwise(F.lit(0).cast("long"))).drop("t_doc", "several"))
+
+
 def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line_no, k1) of those of the distinct lines that have an earlier similar one."""
-    entry = firsts.where("n > 3").select("doc_id", "line_no", "k1", "n", "parity", F.posexplode("prefix").alias("pos", "token")).where(F.col("token").isNotNull())
-    id_ = lambda s: F.struct(f"{s}.doc_id", f"{s}.line_no", f"{s}.k1").alias(s)
+    """(doc_id, line_no, tie) of those of the distinct lines that have an earlier similar one."""
+    id_ = lambda s: F.struct(f"{s}.doc_id", F.shiftright(f"{s}.at", 32).cast("int").alias("line_no"), f"{s}.tie").alias(s)
 
-    rare = entry.where((F.col("pos") < RAREST) & (F.col("pos") < _prefix(F.col("n"), 2 * t / (1 + t))))
-    first = rare.groupBy("token", "n").agg(F.min(F.struct("doc_id", "line_no", "k1", "pos", "parity")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "n", "m.*")
-    pairs = first.alias("x").join(rare.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == F.col("y.n")) & _earlier() & _close(t))
+    rare = _entries(firsts.withColumn("open", F.lit(True))).alias("e").where((_pos("e") < RAREST) & (_pos("e") < _prefix(_n("e"), 2 * t / (1 + t))))
+    by = rare.groupBy(_token("e").alias("token"), _n("e").alias("n"))
+    first = by.agg(F.min(F.struct("doc_id", "at", "tie", "key", "parity")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "n", "m.*")
+    pairs = first.alias("x").join(rare.alias("y"), (F.col("x.token") == _token("y")) & (F.col("x.n") == _n("y")) & _close(t) & _earlier())
     settled = verified(pairs.select(id_("x"), id_("y")), docs, t)
 
-    open_ = entry.join(settled.select("k1"), "k1", "left_anti")
-    x_short = (F.col("x.n") <= F.col("y.n")) & (F.col("x.pos") < _prefix(F.col("x.n"), 2 * t / (1 + t)))
-    y_short = (F.col("x.n") > F.col("y.n")) & (F.col("y.pos") < _prefix(F.col("y.n"), 2 * t / (1 + t)))
-    pairs = entry.alias("x").join(open_.alias("y"), (F.col("x.token") == F.col("y.token")) & _earlier() & (x_short | y_short) & _close(t))
+    marked = flagged(firsts, small(settled, SETTLED_ROWS)).withColumn("open", ~F.col("hit"))
+    # Both sides are the same rows in the same columns, so one shuffle serves both.
+    entry = _entries(marked)
+    short = lambda s: _pos(s) < _prefix(_n(s), 2 * t / (1 + t))
+    x_or_y = ((_n("x") <= _n("y")) & short("x")) | ((_n("x") > _n("y")) & short("y"))
+    pairs = entry.alias("x").join(entry.alias("y"), (_token("x") == _token("y")) & _close(t) & x_or_y & _earlier())
     return settled.unionByName(verified(pairs.select(id_("x"), id_("y")), docs, t))
 
 
@@ -148,11 +198,11 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, rarity_bits:
     lines = lines_of(docs)
     bits = RARITY_BITS if rarity_bits is None else rarity_bits
     signed = table(signed_lines(lines, rarity_sketch(lines, bits), bits, similarity))
-    same = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]  # equal for equal sets
-    firsts = table(signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), *same).select("k1", "k2", "f.*", "n", "parity", "prefix"))
-    later = later_lines(firsts, docs, similarity).select("k1", F.lit(True).alias("later"))
-    flagged = firsts.select("k1", "k2", F.struct("doc_id", "line_no").alias("f")).join(later, "k1", "left")
-    gone = signed.select("doc_id", "th", "line_no", "k1", "k2").join(flagged, ["k1", "k2"]).where(F.col("later") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("f")))
+    firsts = distinct_lines(signed, docs)
+    later = later_lines(firsts, docs, similarity)
+    # Sets of one line that stays have nothing to remove.
+    losing = checkpointed(flagged(firsts, later).where("hit OR c > 1").select("k1", "k2", "hit", F.struct("doc_id", "line_no").alias("f")))
+    gone = maybe_in(signed.select("doc_id", "th", "line_no", "k1", "k2"), losing, "k1").join(losing, ["k1", "k2"]).where(F.col("hit") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("f")))
     return gone.select("doc_id", "th", "line_no").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
