@@ -9,8 +9,9 @@ token whose counter is one is in no other line and is left out of the join.
 
 A line is removed if an earlier one (by doc_id, then line number) is equal as a set or similar; the earlier one need not
 stay itself. Equal sets are settled by one aggregate. Crowds of variants of one line are then thinned: lines of equal size that
-share one of their rarest tokens are compared with the first of them only, and what that removes joins no further as
-the later line. So a crowd costs its size, not its square; all other lines go through the whole join.
+share a prefix token are compared with a few representatives of them only, and what that removes joins no further as the
+later line. So a crowd costs its size times the lines left in it that resemble none of these; all other lines go through
+the whole join.
 
 Defined results: a null or empty text is one line without words; lines without words always stay; a null doc_id comes
 first; rows with equal doc_id and text are one document and give equal results; an empty table gives an empty result. Other
@@ -26,7 +27,9 @@ from weft.llm.common import SPACE, WORD_RE, checkpointed, small, table, text_or_
 
 SIMILARITY = 0.8
 RARITY_BITS = 22
-RAREST = 3
+#: Lines of a (token, size) group that the others are compared with before the whole join; a larger number costs more pairs
+#: there and leaves fewer lines of a crowd to the join. Results don't depend on it.
+REPRESENTATIVES = 4
 FILTER_BITS = 25
 #: Settled lines (three numbers each) are broadcast up to this number of rows, else joined by a shuffle.
 SETTLED_ROWS = 200_000
@@ -174,15 +177,30 @@ def distinct_lines(signed: DataFrame, docs: DataFrame) -> DataFrame:
     return table(tied.withColumn("tie", F.when(F.col("several"), F.col("k1")).otherwise(F.lit(0).cast("long"))).drop("t_doc", "several"))
 
 
+def _thinning_pairs(firsts: DataFrame, t: float) -> DataFrame:
+    """Pairs (x, y) of equal size that share a token of the prefix for equal sizes: each line with the first line of each of
+    REPRESENTATIVES hash classes of its (token, size) group. One shuffle serves the groups and the join; per key the join's
+    inner side is at most REPRESENTATIVES rows."""
+    n, pos = F.col("n"), F.col("pos")
+    place = F.struct("doc_id", "line_no", "tie", "pos", "parity")
+    each = firsts.where("n > 3").select("doc_id", "line_no", "tie", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
+    rare = each.where(F.col("token").isNotNull() & (pos < _prefix(n, 2 * t / (1 + t)))).repartition("token", "n")
+    class_ = F.pmod(F.xxhash64("doc_id", "line_no", "tie"), F.lit(REPRESENTATIVES))
+    by = rare.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c"), *[F.min(F.when(class_ == i, place)).alias(f"m{i}") for i in range(REPRESENTATIVES)]).where("c > 1")
+    first = by.select("token", "n", F.explode(F.array(*[f"m{i}" for i in range(REPRESENTATIVES)])).alias("m")).where("m IS NOT NULL").select("token", "n", "m.*")
+    x, y, n = first.alias("x"), rare.alias("y"), F.col("y.n")
+    need = F.ceil(n * (2 * t / (1 + t)) - 1e-9)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    id_ = lambda s: F.struct(f"{s}.doc_id", f"{s}.line_no", f"{s}.tie")
+    close = (apart <= 2 * (n - need)) & (n - F.greatest("x.pos", "y.pos") >= need) & (id_("x") < id_("y"))
+    return y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == n) & close).select(id_("x").alias("x"), id_("y").alias("y"))
+
+
 def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """(doc_id, line_no, tie) of those of the distinct lines that have an earlier similar one."""
     id_ = lambda s: F.struct(f"{s}.doc_id", F.shiftright(f"{s}.at", 32).cast("int").alias("line_no"), f"{s}.tie").alias(s)
 
-    rare = _entries(firsts.withColumn("open", F.lit(True))).alias("e").where((_pos("e") < RAREST) & (_pos("e") < _prefix(_n("e"), 2 * t / (1 + t))))
-    by = rare.groupBy(_token("e").alias("token"), _n("e").alias("n"))
-    first = by.agg(F.min(F.struct("doc_id", "at", "tie", "key", "parity")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "n", "m.*")
-    pairs = first.alias("x").join(rare.alias("y"), (F.col("x.token") == _token("y")) & (F.col("x.n") == _n("y")) & _close(t) & _earlier())
-    settled = verified(pairs.select(id_("x"), id_("y")), docs, t)
+    settled = verified(_thinning_pairs(firsts, t), docs, t)
 
     marked = flagged(firsts, small(settled, SETTLED_ROWS)).withColumn("open", ~F.col("hit"))
     # Both sides are the same rows in the same columns, so one shuffle serves both.
