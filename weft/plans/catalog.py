@@ -340,8 +340,7 @@ CASE WHEN event_type = 'error' THEN 'e' || event_id END AS error FROM events WHE
 def _history(spark, sf):
     kind = F.col("event_type")
     state = F.when(kind == "click", "running").when(kind == "error", "not_finished").when(kind == "purchase", F.when(F.col("user_id") % 3 == 0, "completed").otherwise("running")).otherwise("pending")
-    rows = read(spark, sf, "events").where("event_id % 40 = user_id % 40")
-    return rows.select((F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("instance"), F.col("event_id").alias("seq"), state.alias("state"), F.when(kind == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"))
+    return read(spark, sf, "events").select((F.col("user_id") % 10).alias("run_id"), F.col("user_id").alias("instance"), F.col("event_id").alias("seq"), state.alias("state"), F.when(kind == "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))).alias("error"))
 
 
 _FOLD = f"""WITH {_STATES}, a AS (SELECT run_id, instance, max(list_position(['pending', 'running', 'not_finished', 'completed'], state)) AS r,
