@@ -42,6 +42,13 @@ def test_rewrites_and_chunks(spark):
     assert all(len(p) <= 1000 for p in parts) and len(parts) == 4 and rag.split_text("x" * 2500, 1000, 0) == ["x" * 1000, "x" * 1000, "x" * 500]
 
 
+def test_knn_in_blocks(spark):
+    e = spark.range(60).select(F.col("id").alias("cid"), F.array(F.sin("id"), F.cos("id"), F.lit(0.5)).alias("cvec"), (F.col("id") % 2).alias("ds"))
+    q = e.where("cid % 3 = 0").select(F.col("cid").alias("qid"), F.col("cvec").alias("qvec"), "ds")
+    found = lambda block: sorted(map(tuple, rag.knn(q, e, block=block).collect()))
+    assert len(found(7)) == 60 and found(7) == found(1000)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "p.csv").write_text("name;age\nAlice;30\nBob;25\n")
     assert [tuple(r) for r in files.read_csv(spark, str(tmp_path / "p.csv")).collect()] == [("Alice", "30"), ("Bob", "25")]

@@ -46,6 +46,15 @@ def test_run_state_takes_all_events(spark, duck, name):
     assert sorted(repr([plain(r[n]) for n in names]) for r in catalog.QUERIES[name](spark, SF).collect()) == want
 
 
+def test_searches_take_every_fiftieth_row(spark, duck):
+    whole = duck.execute(catalog.SQL["knn_topk"].replace("vec_id < 5", "vec_id % 50 = 0"))
+    names = [d[0] for d in whole.description]
+    want = sorted(repr([plain(v) for v in row]) for row in whole.fetchall())
+    assert sorted(repr([plain(r[n]) for n in names]) for r in catalog.knn_topk(spark, SF).collect()) == want
+    ids = {r[0] for r in duck.execute("SELECT vec_id FROM embeddings WHERE vec_id % 50 = 0").fetchall()}
+    assert len(ids) > 5 and {r["qid"] for r in catalog.knn_mmr(spark, SF).collect()} == ids
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

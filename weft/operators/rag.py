@@ -15,19 +15,25 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
+def knn(queries: DataFrame, chunks: DataFrame, k: int = 3, block: int = 1000) -> DataFrame:
     """qid, cid, score, rank: the k nearest chunks by cosine within the query's datasource, a stated query set against all rows.
 
-    queries(qid, qvec, ds) is the small side; chunks(cid, cvec, ds). Each task keeps its own k best first, so what meets is k rows a task and query.
+    queries(qid, qvec, ds), broadcast in blocks of about `block`, a pass over chunks(cid, cvec, ds) for each. Each task keeps its own
+    k best first, so what meets is k rows a task and query.
     """
     norm = lambda v: F.sqrt(dot(v, v))
-    q = queries.withColumn("qn", norm(F.col("qvec")))
+    blocks = max(1, -(-queries.count() // block))
+    q = queries.withColumn("qn", norm(F.col("qvec"))).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
     score = dot(F.col("qvec"), F.col("cvec")) / (F.col("qn") * norm(F.col("cvec")))
-    scored = chunks.join(F.broadcast(q), "ds").select("qid", "cid", F.round(score, 6).alias("score"))
-    part = scored.withColumn("p", F.spark_partition_id())
-    local = part.withColumn("r", F.row_number().over(Window.partitionBy("p", "qid").orderBy(F.col("score").desc(), "cid"))).where(F.col("r") <= k)
     best = Window.partitionBy("qid").orderBy(F.col("score").desc(), "cid")
-    return local.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("qid", "cid", "score", "rank")
+    out = None
+    for i in range(blocks):
+        scored = chunks.join(F.broadcast(q.where(F.col("block") == i)), "ds").select("qid", "cid", F.round(score, 6).alias("score"))
+        part = scored.withColumn("p", F.spark_partition_id())
+        local = part.withColumn("r", F.row_number().over(Window.partitionBy("p", "qid").orderBy(F.col("score").desc(), "cid"))).where(F.col("r") <= k)
+        ranked = local.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("qid", "cid", "score", "rank")
+        out = out.unionByName(ranked) if out else ranked
+    return out
 
 
 def mmr(candidates: DataFrame, k: int = 3, balance: float = 0.5) -> DataFrame:

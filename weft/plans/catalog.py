@@ -432,14 +432,14 @@ s AS (SELECT qid, vec_id AS cid, round(list_dot_product(qvec::DOUBLE[], embeddin
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s) WHERE rank <= 3""")
 def knn_topk(spark, sf):
     e = read(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("ds"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("ds"))
     return rag.knn(q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec"), F.col("label").alias("ds")))
 
 
 @query()
 def knn_mmr(spark, sf):
     e = read(spark, sf, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("ds"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("ds"))
     near = rag.knn(q, e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec"), F.col("label").alias("ds")), k=20)
     return rag.mmr(near.join(q, "qid").join(e.select(F.col("vec_id").alias("cid"), F.col("embedding").alias("cvec")), "cid"))
 
