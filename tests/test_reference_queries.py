@@ -55,6 +55,14 @@ def test_searches_take_every_fiftieth_row(spark, duck):
     assert len(ids) > 5 and {r["qid"] for r in catalog.knn_mmr(spark, SF).collect()} == ids
 
 
+@pytest.mark.parametrize("name, cut", [("dialogue_export", "left(text, 20)"), ("quote_clean_truncate", "'ss')), 12)")])
+def test_whole_texts(spark, duck, name, cut):
+    whole = duck.execute(catalog.SQL[name].replace(cut, cut.rpartition(" ")[0] + " 1000000000)"))
+    names = [d[0] for d in whole.description]
+    want = sorted(repr([plain(v) for v in row]) for row in whole.fetchall())
+    assert sorted(repr([plain(r[n]) for n in names]) for r in catalog.QUERIES[name](spark, SF).collect()) == want
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -99,7 +99,7 @@ FROM conversations GROUP BY conv_id""")
 def dialogue_export(spark, sf):
     m = read(spark, sf, "conversations").select("conv_id", F.struct("turn", eventlog.agent(F.col("role")).alias("type"), "text").alias("m"))
     by = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("ms"))
-    flat = F.array_join(F.transform("ms", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["type"], F.left(x["text"], F.lit(20)))), "|")
+    flat = F.array_join(F.transform("ms", lambda x: F.concat_ws(":", x["turn"].cast("string"), x["type"], x["text"])), "|")
     return by.select("conv_id", F.size("ms").cast("long").alias("total_messages"), flat.alias("messages"))
 
 
@@ -494,6 +494,6 @@ def page_text(spark, sf):
 @query(r"""SELECT doc_id, upper(left(trim(replace(replace(replace(text, '"', ''), '''', ''), 'ß', 'ss')), 12)) AS label, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS cut,
 len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::BIGINT AS words FROM documents""")
 def quote_clean_truncate(spark, sf):
-    clean = F.upper(F.left(F.trim(F.replace(F.translate("text", "\"'", ""), F.lit("ß"), F.lit("ss"))), F.lit(12)))
+    clean = F.upper(F.trim(F.replace(F.translate("text", "\"'", ""), F.lit("ß"), F.lit("ss"))))
     cut = F.when(F.length("text") > 1000, F.concat(F.left("text", F.lit(1000)), F.lit("..."))).otherwise(F.col("text"))
     return read(spark, sf, "documents").select("doc_id", clean.alias("label"), cut.alias("cut"), words(F.col("text")).alias("words"))
