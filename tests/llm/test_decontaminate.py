@@ -70,3 +70,22 @@ def test_repeats_and_empty_tables(spark):
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["similarity"]) for r in contaminated(df, bench).collect()] == [(1, 7, 1.0)]
     assert contaminated(df.limit(0), bench).collect() == [] and contaminated(df, bench.limit(0)).collect() == []
+
+
+def test_documents_shorter_than_an_item(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"v{rng.randrange(200)}" for _ in range(n))) for i, n in enumerate([5, 6, 12, 39, 39, 60])]
+    docs, want = [], {}
+    for i, x in items:
+        words = words_of(x)
+        for cut in (0, 1, 2, 5, 9):
+            docs += [(len(docs), " ".join(words[cut:])), (len(docs) + 1, " ".join(words[: len(words) - cut]))]
+    for d, t in docs:
+        for i, x in items:
+            own, w = shingles(words_of(x), 5), shingles(words_of(t), 5)
+            j = sum((own & w).values()) / max(1, sum((own | w).values()))
+            if len(words_of(t)) <= len(words_of(x)) and j >= 0.8:
+                want[d, i] = round(j, 9)
+    assert sum(j < 1 for j in want.values()) > 10
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in contaminated(df, bench).collect()} == want

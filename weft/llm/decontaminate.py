@@ -7,6 +7,8 @@ is checked, and the weighted Jaccard of the shingle counts (sum of minima over s
 `similarity` or more. A window that shares no shingle with any item cannot be similar and is not fingerprinted, which
 leaves out nothing. A pair at similarity 0.8 differs in 10 bits on average and in more than RADIUS practically never.
 
+A document shorter than an item is one window, the whole of it.
+
 Words are \\w+ runs of the lower-cased text. Items with fewer than five words: their whole word sequence is the shingle.
 The benchmark is a stated query set: it is taken in blocks of at most `block` items, a pass over the documents for each.
 
@@ -112,8 +114,12 @@ class Index:
                 continue
             hashes = _roll(word_ids(words), k)
             spans: dict[int, list[tuple[int, int]]] = defaultdict(list)  # word count: stretches of window starts
+            longer: set[int] = set()
             for i in hit.tolist():
                 for width in self.widths[k, int(hashes[i])]:
+                    if width > len(words):
+                        longer.add(width)
+                        continue
                     lo, hi = max(0, i + k - width), min(i, len(words) - width)
                     if lo <= hi:
                         own = spans[width]
@@ -121,6 +127,16 @@ class Index:
                             own[-1] = (min(own[-1][0], lo), max(hi, own[-1][1]))
                         else:
                             own.append((lo, hi))
+            n = len(hashes)
+            if any(n + 1e-9 >= similarity * (width - k + 1) for width in longer):
+                own = Counter(hashes.tolist())
+                fp = int(fingerprint(unpack(hashes).sum(axis=0, dtype=np.int64), n)[0])
+                for i in self.meets(fp).tolist():
+                    if self.sizes[i] in longer:
+                        both = sum(min(c, self.counts[i].get(h, 0)) for h, c in own.items())
+                        j = both / (n + self.sizes[i] - k + 1 - both)
+                        if j >= similarity and j > best.get(i, (0,))[0]:
+                            best[i] = (j, 0, len(words), int(np.bitwise_count(self.fps[i] ^ np.uint64(fp))))
             for width, stretches in spans.items():
                 n = width - k + 1
                 for lo, hi in stretches:
