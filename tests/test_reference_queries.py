@@ -7,9 +7,11 @@ import os
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from weft.operators import planner
 from weft.plans import catalog
+from weft.streaming.sessions import sessions
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,6 +65,12 @@ def test_whole_texts(spark, duck, name, cut):
     assert sorted(repr([plain(r[n]) for n in names]) for r in catalog.QUERIES[name](spark, SF).collect()) == want
 
 
+def test_streaming_sessions_are_those_of_the_table(spark):
+    got = [(r["user_id"], r["session_start"], r["session_end"], r["n"]) for r in catalog.streaming_sessions(spark, SF).collect()]
+    want = sessions(spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    assert sorted(got) == sorted((r["user_id"], r["session_start"], r["session_end"], r["n"]) for r in want.collect())
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0

@@ -412,13 +412,13 @@ def sliding_windows(spark, sf):
 
 @query()
 def streaming_sessions(spark, sf):
-    """The sessions of a stream that the watermark has closed; all of them, but for those of the last 30 minutes and more."""
+    """The sessions of a stream, those still open at its end included: the same rows as the table's."""
     import uuid
 
     name = f"sessions_{uuid.uuid4().hex}"
     source = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     stream = sessions(source.withColumn("ts", F.col("ts").cast("timestamp")), watermark="10 minutes")
-    out = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    out = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.table(name)
 
