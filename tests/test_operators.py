@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weft.functions.text import compose, prefix_sums, squeeze, truncate
-from weft.operators import rag, runs
+from weft.operators import rag, ragflow, runs
 from weft.sources import files, sinks
 
 
@@ -35,7 +35,7 @@ def test_fold_and_stale(spark):
 
 
 def test_rewrites_and_chunks(spark):
-    say = lambda t: one(spark, rag.parse_rewrites(F.col("a")), a=t)
+    say = lambda t: one(spark, ragflow.parsed_rewrites(F.col("a")), a=t)
     assert say("1. um\n2. dois\n3. tres\n4. quatro") == ["um", "dois", "tres"] and say("- a\n- b") == ["a", "b"] and say("plain") == ["plain"]
     text = "word " * 700
     parts = rag.split_text(text, 1000, 100)

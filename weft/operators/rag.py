@@ -18,8 +18,7 @@ def dot(a: Column, b: Column) -> Column:
 def knn(queries: DataFrame, chunks: DataFrame, k: int = 3, block: int = 1000) -> DataFrame:
     """qid, cid, score, rank: the k nearest chunks by cosine within the query's datasource, a stated query set against all rows.
 
-    queries(qid, qvec, ds), broadcast in blocks of about `block`, a pass over chunks(cid, cvec, ds) for each. Each task keeps its own
-    k best first, so what meets is k rows a task and query.
+    queries(qid, qvec, ds), broadcast in blocks of about `block` rows, a pass over chunks(cid, cvec, ds) for each.
     """
     norm = lambda v: F.sqrt(dot(v, v))
     blocks = max(1, -(-queries.count() // block))
@@ -29,9 +28,8 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int = 3, block: int = 1000) ->
     out = None
     for i in range(blocks):
         scored = chunks.join(F.broadcast(q.where(F.col("block") == i)), "ds").select("qid", "cid", F.round(score, 6).alias("score"))
-        part = scored.withColumn("p", F.spark_partition_id())
-        local = part.withColumn("r", F.row_number().over(Window.partitionBy("p", "qid").orderBy(F.col("score").desc(), "cid"))).where(F.col("r") <= k)
-        ranked = local.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k).select("qid", "cid", "score", "rank")
+        # The plan keeps k best rows a query in each task before the shuffle.
+        ranked = scored.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
         out = out.unionByName(ranked) if out else ranked
     return out
 
@@ -97,11 +95,3 @@ def recursive_chunks(docs: DataFrame, size: int = 1000, overlap: int = 100) -> D
 def first_occurrences(rows: DataFrame, key: str, pos: str) -> DataFrame:
     """One row for each distinct key: the first by pos, by partial aggregation."""
     return rows.groupBy(F.sha2(F.col(key), 256).alias("h")).agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n")).select(pos, "n")
-
-
-def parse_rewrites(answer: Column, cap: int = 3) -> Column:
-    """Queries out of a numbered or bulleted list, `cap` at most; other text is one query."""
-    lines = F.filter(F.transform(F.split(answer, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    listed = F.filter(lines, lambda x: x.rlike(r"^([0-9]|- )"))
-    clean = F.transform(listed, lambda x: F.trim(F.regexp_replace(x, r"^(- |[^.]*\.)", "")))
-    return F.when(F.size(listed) > 0, F.slice(clean, 1, cap)).otherwise(F.array(answer))
