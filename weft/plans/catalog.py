@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions.scratch import scratch
 from weft.functions.text import compose, squeeze, truncate, words
 from weft.operators import eventlog, planner, rag, runs
 from weft.streaming.sessions import sessions, windows
@@ -58,10 +60,10 @@ def _log(spark, sf):
     return eventlog.finish(eventlog.classify(eventlog.flatten(read(spark, sf, "conversations")), CATALOG))
 
 
-@query(f"WITH {_FLAT} SELECT conv_id AS case_id, event_id, agent, clock AS end_ms, length(text)::BIGINT AS chars FROM f")
+@query(f"WITH {_FLAT} SELECT conv_id AS case_id, event_id, agent, clock AS end_ms, length(text)::BIGINT AS chars, md5(text) AS digest FROM f")
 def eventlog_build(spark, sf):
     f = eventlog.flatten(read(spark, sf, "conversations"))
-    return f.select(F.col("conv_id").alias("case_id"), "event_id", "agent", F.col("clock").alias("end_ms"), F.length("text").cast("long").alias("chars"))
+    return f.select(F.col("conv_id").alias("case_id"), "event_id", "agent", F.col("clock").alias("end_ms"), F.length("text").cast("long").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query(f"WITH {_CLASSIFIED} SELECT * FROM o")
@@ -94,7 +96,7 @@ def dialogue_timing(spark, sf):
     return t.select("conv_id", "turn", "agent", F.col("clock").alias("at_ms"), F.coalesce(F.lag("clock").over(order), F.lit(0).cast("long")).alias("before_ms"), typing.alias("typing_ms"))
 
 
-@query(r"""SELECT conv_id, count(*) AS total_messages, string_agg(turn || ':' || CASE role WHEN 'assistant' THEN 'ai' WHEN 'user' THEN 'human' ELSE 'other' END || ':' || left(text, 20), '|' ORDER BY turn) AS messages
+@query(r"""SELECT conv_id, count(*) AS total_messages, string_agg(turn || ':' || CASE role WHEN 'assistant' THEN 'ai' WHEN 'user' THEN 'human' ELSE 'other' END || ':' || text, '|' ORDER BY turn) AS messages
 FROM conversations GROUP BY conv_id""")
 def dialogue_export(spark, sf):
     m = read(spark, sf, "conversations").select("conv_id", F.struct("turn", eventlog.agent(F.col("role")).alias("type"), "text").alias("m"))
@@ -249,7 +251,7 @@ def _days(spark):
 @query(f"WITH {_ZIP} SELECT pos, day_id, persona FROM z")
 def positional_zip(spark, sf):
     days = planner.balanced(_days(spark).withColumn("ord", F.col("day_idx")), "day_id")
-    return days.join(balanced_sequence(spark, sf), "pos").select("pos", "day_id", "persona")
+    return planner.zip_positions(days, balanced_sequence(spark, sf)).select("pos", "day_id", "persona")
 
 
 def _simulations(spark, sf):
@@ -261,10 +263,16 @@ def simulations_plan(spark, sf):
     return _simulations(spark, sf).select("pos", "day_id", "persona", "mission")
 
 
-@query()
+def _permutation(n: int, seed: int) -> list[int]:
+    order = list(range(1, n + 1))
+    random.Random(seed).shuffle(order)
+    return order
+
+
+@query(f"WITH {_SIMS}, ids AS (SELECT unnest({_permutation(6000, 44)}) AS pos, unnest(range(1, 6001)) AS id) SELECT id, day_id, persona, mission FROM sim JOIN ids USING (pos)")
 def simulations_shuffled(spark, sf):
     """The plan in the seeded order, ids 1..n."""
-    return _simulations(spark, sf).join(planner.shuffled_ids(spark, 6000, 44), "pos").select("id", "day_id", "persona", "mission").orderBy("id")
+    return _simulations(spark, sf).join(planner.shuffled_ids(spark, 6000, 44), "pos").select("id", "day_id", "persona", "mission")
 
 
 @query(f"""WITH {_SIMS}, g AS (SELECT persona, mission, count(*) AS observed FROM sim GROUP BY 1, 2)
@@ -334,7 +342,7 @@ def pairs_cross_anti(spark, sf):
 
 _STATES = """h AS (SELECT user_id % 10 AS run_id, user_id AS instance, event_id AS seq,
 CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'error' THEN 'not_finished' WHEN 'purchase' THEN CASE WHEN user_id % 3 = 0 THEN 'completed' ELSE 'running' END ELSE 'pending' END AS state,
-CASE WHEN event_type = 'error' THEN 'e' || event_id END AS error FROM events WHERE event_id % 40 = user_id % 40)"""
+CASE WHEN event_type = 'error' THEN 'e' || event_id END AS error FROM events)"""
 
 
 def _history(spark, sf):
@@ -384,9 +392,14 @@ def _events(spark, sf):
     return read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query("""WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
+_SESSIONS = """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 1800000000 THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sid FROM g)
-SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM s GROUP BY user_id, sid""")
+SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n FROM s GROUP BY user_id, sid"""
+#: After any event time.
+_LAST = "2200-01-01 00:00:00"
+
+
+@query(_SESSIONS)
 def sessions_30m(spark, sf):
     s = sessions(_events(spark, sf))
     return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
@@ -410,23 +423,35 @@ def sliding_windows(spark, sf):
     return windows(_events(spark, sf), "1 hour", "30 minutes").select(F.unix_micros("window_start").alias("start_us"), "event_type", "n")
 
 
-@query()
+@query(_SESSIONS)
 def streaming_sessions(spark, sf):
-    """The sessions of a stream, those still open at its end included: the same rows as the table's."""
+    """The sessions of a stream, those still open at its end included: the same rows as the table's.
+
+    In append mode each session that the watermark closes is written once, to files in the shared folder; a record of the far future then
+    closes the others and is left out.
+    """
     import uuid
 
-    name = f"sessions_{uuid.uuid4().hex}"
-    source = spark.readStream.schema(read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    stream = sessions(source.withColumn("ts", F.col("ts").cast("timestamp")), watermark="10 minutes")
-    out = stream.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    out.awaitTermination()
-    return spark.table(name)
+    at = f"{scratch(spark).rstrip('/')}/weft-stream-{uuid.uuid4().hex}"
+    schema = read(spark, sf, "events").schema
+    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    closing = spark.range(1).select(F.lit(-1).cast("long").alias("user_id"), F.lit(_LAST).cast("timestamp").alias("ts"))
+    closing.write.parquet(f"{at}/closing")
+
+    def run(rows):
+        writer = sessions(rows, watermark="10 minutes").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    last = spark.readStream.schema(closing.schema).parquet(f"{at}/closing")
+    run(source.unionByName(last))
+    s = spark.read.parquet(f"{at}/out").where("user_id <> -1")
+    return s.select("user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
 
 
 # ---- retrieval and documents ----------------------------------------------------------------------------------------
 
 
-@query("""WITH q AS (SELECT vec_id AS qid, embedding AS qvec, label AS ds FROM embeddings WHERE vec_id < 5),
+@query("""WITH q AS (SELECT vec_id AS qid, embedding AS qvec, label AS ds FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT qid, vec_id AS cid, round(list_dot_product(qvec::DOUBLE[], embedding::DOUBLE[]) / (sqrt(list_dot_product(qvec::DOUBLE[], qvec::DOUBLE[])) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS score
       FROM embeddings JOIN q ON label = ds)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, cid) AS rank FROM s) WHERE rank <= 3""")
@@ -473,7 +498,7 @@ def doc_chunk_fixed(spark, sf):
 
 @query()
 def doc_chunk_recursive(spark, sf):
-    return rag.recursive_chunks(read(spark, sf, "documents")).select("doc_id", "chunk_idx", F.length("chunk").alias("chars"))
+    return rag.recursive_chunks(read(spark, sf, "documents")).select("doc_id", "chunk_idx", F.length("chunk").alias("chars"), F.md5("chunk").alias("digest"))
 
 
 @query("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY text")
@@ -486,12 +511,13 @@ def docs_per_source(spark, sf):
     return read(spark, sf, "documents").rollup("source", "lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT page_id, lower(split_part(url, '/', 3)) AS host, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS text_chars FROM pages")
+@query("SELECT page_id, lower(split_part(url, '/', 3)) AS host, length(regexp_replace(html, '<[^>]*>', '', 'g'))::BIGINT AS text_chars, md5(regexp_replace(html, '<[^>]*>', '', 'g')) AS digest FROM pages")
 def page_text(spark, sf):
-    return read(spark, sf, "pages").select("page_id", F.lower(F.split_part("url", F.lit("/"), F.lit(3))).alias("host"), F.length(F.regexp_replace("html", "<[^>]*>", "")).cast("long").alias("text_chars"))
+    text = F.regexp_replace("html", "<[^>]*>", "")
+    return read(spark, sf, "pages").select("page_id", F.lower(F.split_part("url", F.lit("/"), F.lit(3))).alias("host"), F.length(text).cast("long").alias("text_chars"), F.md5(text).alias("digest"))
 
 
-@query(r"""SELECT doc_id, upper(left(trim(replace(replace(replace(text, '"', ''), '''', ''), 'ß', 'ss')), 12)) AS label, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS cut,
+@query(r"""SELECT doc_id, upper(trim(replace(replace(replace(text, '"', ''), '''', ''), 'ß', 'ss'))) AS label, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS cut,
 len(regexp_extract_all(text, '[^ \t\n\r\f\v]+'))::BIGINT AS words FROM documents""")
 def quote_clean_truncate(spark, sf):
     clean = F.upper(F.trim(F.replace(F.translate("text", "\"'", ""), F.lit("ß"), F.lit("ss"))))
