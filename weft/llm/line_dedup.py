@@ -8,14 +8,15 @@ within short prefixes of that order; entries meet by token, and the length filte
 token whose counter is one is in no other line and is left out of the join.
 
 A line is removed if an earlier one (by doc_id, then line number) is equal as a set or similar; the earlier one need not
-stay itself. Equal sets are settled by one aggregate. Crowds of variants of one line are then thinned: lines of equal size that
-share a prefix token are compared with a few representatives of them only, and what that removes joins no further as the
-later line. So a crowd costs its size times the lines left in it that resemble none of these; all other lines go through
-the whole join.
+stay itself. Equal sets are settled by one aggregate, and the distinct sets numbered in the order of their first lines. Crowds of
+variants of one line are thinned before the join: lines of equal size that share the least or the greatest token of their prefixes are
+compared with a few representatives only, and what that removes joins no further as the later line. So a crowd costs its size times the
+lines left in it that resemble none of these; all other lines go through the whole join. Tokens of more than SPLIT entries are dealt
+over salted keys.
 
 Defined results: a null or empty text is one line without words; lines without words always stay; a null doc_id comes
-first; rows with equal doc_id and text are one document and give equal results; an empty table gives an empty result. Other
-columns are ignored, or kept by name.
+first; rows with equal doc_id and text are one document and give equal results; of texts that share a doc_id the order is
+that of their hashes; an empty table gives an empty result. Other columns are ignored, or kept by name.
 """
 
 from __future__ import annotations
@@ -23,43 +24,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import SPACE, WORD_RE, checkpointed, small, table, text_or_empty
+from weft.llm.common import SPACE, WORD_RE, checkpointed, released, small, table, text_or_empty
 
 SIMILARITY = 0.8
-RARITY_BITS = 22
-#: Lines of a (token, size) group that the others are compared with before the whole join; a larger number costs more pairs
-#: there and leaves fewer lines of a crowd to the join. Results don't depend on it.
-REPRESENTATIVES = 4
+RARITY_BITS = 20
+#: Entries of a token that one salted key takes.
+SPLIT = 1 << 14
+#: Lines of a group from which it is a crowd, and those of them that the others are compared with before the whole join; a larger number
+#: costs more pairs there and leaves fewer lines of a crowd to the join. Results don't depend on these.
+CROWD, REPRESENTATIVES = 16, 8
 FILTER_BITS = 25
-#: Settled lines (three numbers each) are broadcast up to this number of rows, else joined by a shuffle.
-SETTLED_ROWS = 200_000
+#: Tables of a line number (or as narrow) a row are broadcast up to this number of rows, some 40 MB, else joined by a shuffle.
+SETTLED_ROWS = 1_000_000
 _HASH = (1 << 56) - 1
+#: In a token's counter, and in an entry's token, the mark of one that occurs SPLIT times or more: only these can have that many entries.
+_MARK, _MARKED = 1 << 6, 1 << 30
+_PLACE = ("doc_id", "line_no", "th")
 
 
-def _tokens(line: Column) -> Column:
-    """64-bit hashes of a line's distinct lower-cased words."""
-    words = F.array_remove(F.split(F.lower(line), f"[{SPACE}]+"), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+def _hashes(line: Column) -> Column:
+    """64-bit hashes of the distinct words of a line that is lower-cased and has no white space but the space."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), line_no, line."""
+def _plain(text: Column) -> Column:
+    """Lower-cased; of white space only spaces and line ends remain. Splitting at a space is far quicker than at a pattern."""
+    low = F.lower(text)
+    return F.when(low.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
+
+
+def lines_of(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """doc_id, th (hash of the text), line_no, line (plain, if said so)."""
     text = text_or_empty()
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(_plain(text) if plain else text, "\n", -1).alias("lines"))
     return split.select("doc_id", "th", F.posexplode("lines").alias("line_no", "line"))
 
 
-def rarity_sketch(lines: DataFrame, bits: int) -> DataFrame:
-    """One row, one binary of 2^bits bytes: 65 for a counter at zero, 66 at one, 67 and more by half powers of two."""
-    counted = lines.select(F.explode(_tokens(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    zero = lines.sparkSession.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    level = F.when(F.col("n") < 2, F.col("n")).otherwise(F.least(F.lit(55), F.floor(F.log2("n") * 2).cast("long")))
-    letter = F.char(F.lit(65) + level)
-    per = counted.unionByName(zero).groupBy("b").agg(F.sum("n").alias("n")).select("b", letter.alias("c"))
+def rarity_sketch(docs: DataFrame, bits: int) -> DataFrame:
+    """One row, an array of 2^bits bytes: a counter's number of occurrences up to one, else 2 and more by half powers of two, with the mark of those from SPLIT on."""
+    word = docs.select(F.explode(F.split(F.replace(_plain(text_or_empty()), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
+    counted = word.select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    zero = docs.sparkSession.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
+    level = F.when(F.col("n") < 2, F.col("n")).otherwise(F.least(F.lit(55), F.floor(F.log2("n") * 2).cast("long")) + F.when(F.col("n") >= SPLIT, _MARK).otherwise(0))
+    per = counted.unionByName(zero).groupBy("b").agg(F.sum("n").alias("n")).select("b", level.cast("byte").alias("c"))
     piece = min(10, bits)
-    joined = lambda key: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, "c"))), lambda x: x["c"]), "").alias("c")
-    pieces = per.groupBy(F.shiftright("b", piece).alias("p")).agg(joined("b"))
-    return checkpointed(pieces.agg(joined("p")).select(F.col("c").cast("binary").alias("c")))
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    pieces = per.groupBy(F.shiftright("b", piece).alias("p")).agg(in_order("b", "c").alias("c"))
+    return checkpointed(pieces.agg(F.flatten(in_order("p", "c")).alias("c")))
 
 
 def _prefix(n: Column, t: float) -> Column:
@@ -67,59 +78,105 @@ def _prefix(n: Column, t: float) -> Column:
     return n - F.ceil(F.lit(t) * n - 1e-9).cast("int") + 1
 
 
-def signed_lines(lines: DataFrame, sketch: DataFrame, bits: int, t: float) -> DataFrame:
+def _joins(t: float) -> Column:
+    """Whether a set of n tokens can be similar to another one at all."""
+    return F.col("n") * (1 - t) >= t - 1e-9
+
+
+def signed_lines(docs: DataFrame, sketch: DataFrame, bits: int, t: float) -> DataFrame:
     """doc_id, th, line_no, k1, k2 (the set's identity), n, parity, prefix (rarest first; null: in no other line); lines with words only."""
     # A subquery may not stand in a lambda, but as a column that is used once it is folded into the lambda's projection.
-    lines, bytes_ = lines.withColumn("sketch", sketch.scalar()), F.col("sketch")
-    place = lambda h: h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int") + 1
-    level = lambda h: F.ascii(F.substring(bytes_, place(h), F.lit(1)).cast("string")).cast("long")
-    keyed = F.sort_array(F.transform(_tokens(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))))
+    lines = lines_of(docs, plain=True).where(F.trim("line") != "").withColumn("sketch", sketch.scalar())
+    level = lambda h: F.get(F.col("sketch"), h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long")
+    keyed = F.sort_array(F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))))
     parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    short = F.transform(F.slice("ids", F.lit(1), F.when(F.col("n") > 3, _prefix(F.col("n"), t)).otherwise(0)), lambda x: F.when(F.shiftright(x, 56) != 66, x.bitwiseAND(F.lit((1 << 31) - 1)).cast("int")))
+    token = lambda x: F.shiftright(x, 32).bitwiseAND(F.lit(_MARKED)).bitwiseOR(x.bitwiseAND(F.lit(_MARKED - 1))).cast("int")
+    short = F.transform(F.slice("ids", F.lit(1), F.when(_joins(t), _prefix(F.col("n"), t)).otherwise(0)), lambda x: F.when(F.shiftright(x, 56) != 1, token(x)))
     return (
-        lines.where(F.col("line").rlike(WORD_RE))
-        .select("doc_id", "th", "line_no", keyed.alias("ids"))
+        lines.select("doc_id", "th", "line_no", keyed.alias("ids"))
         .withColumn("n", F.size("ids"))
         .select("doc_id", "th", "line_no", F.xxhash64("ids").alias("k1"), F.xxhash64(F.lit(1), "ids").alias("k2"), "n", parity.alias("parity"), short.alias("prefix"))
     )
 
 
-def _entries(firsts: DataFrame) -> DataFrame:
-    """An entry for each prefix token, in few and wide columns, as all of them are shuffled: doc_id, tie, parity, at (line number
-    and n) and key (token, position, and whether an earlier similar line is still sought). firsts has a column open."""
-    wide = lambda c: F.col(c).cast("long")
-    each = firsts.where("n > 3").select("doc_id", "line_no", "tie", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token")).where(F.col("token").isNotNull())
-    at = F.shiftleft(wide("line_no"), 32).bitwiseOR(wide("n"))
-    key = F.shiftleft(wide("token"), 32).bitwiseOR(F.shiftleft(wide("pos"), 1)).bitwiseOR(F.col("open").cast("long"))
-    return each.select("doc_id", "tie", "parity", at.alias("at"), key.alias("key"))
+def distinct_lines(signed: DataFrame) -> DataFrame:
+    """The first line of each set: lid (numbers in the order of the places), k1, k2, c (lines), doc_id, line_no, th, n, parity, prefix."""
+    first = F.min(F.struct(*_PLACE, "n", "parity", "prefix")).alias("f")
+    firsts = signed.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("c")).select("k1", "k2", "c", "f.*")
+    ordered = firsts.repartitionByRange(*_PLACE).sortWithinPartitions(*_PLACE)
+    return table(ordered.select(F.monotonically_increasing_id().alias("lid"), "*"))
 
 
-def _token(s: str) -> Column:
-    return F.shiftright(f"{s}.key", 32)
+def _lid(s: str) -> Column:
+    return F.shiftright(f"{s}.at", 1)
 
 
 def _n(s: str) -> Column:
-    return F.col(f"{s}.at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return F.shiftright(f"{s}.size", 32).cast("int")
 
 
 def _pos(s: str) -> Column:
-    return F.shiftright(F.col(f"{s}.key").bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+    return F.col(f"{s}.size").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
 
 
 def _close(t: float) -> Column:
-    """Length, positional and bitmap filters for entries x and y of one token; nothing is near a settled line as the later one."""
-    nx, ny = _n("x"), _n("y")
+    """Length, positional and bitmap filters for entries x and y of one token: the shorter line's place is within the prefix for equal sizes;
+    nothing is near a settled line as the later one. (That stands within a comparison of both sides, or it would be taken into one of them
+    and there would be two shuffles.)"""
+    nx, ny, px, py = _n("x"), _n("y"), _pos("x"), _pos("y")
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
-    rest = F.least(nx - _pos("x"), (ny - _pos("y")) * F.col("y.key").bitwiseAND(F.lit(1)))
     lengths = (nx >= F.lit(t) * ny - 1e-9) & (ny >= F.lit(t) * nx - 1e-9)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    short = lambda n, p: p < _prefix(n, 2 * t / (1 + t))
+    shorter = ((nx <= ny) & short(nx, px)) | ((nx > ny) & short(ny, py))
     # The first condition follows from the last; it is the cheapest and leaves few pairs for the others.
-    return (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (rest >= need) & (nx + ny - apart >= 2 * need)
+    return (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (F.least(nx - px, (ny - py) * F.col("y.at").bitwiseAND(F.lit(1))) >= need) & shorter & (nx + ny - apart >= 2 * need)
 
 
-def _earlier() -> Column:
-    place = lambda s: F.struct(f"{s}.doc_id", F.shiftright(f"{s}.at", 32).alias("line_no"), f"{s}.tie")
-    return place("x") < place("y")
+def entries(firsts: DataFrame, t: float) -> DataFrame:
+    """An entry for each prefix token, in few and narrow columns, as all of them are shuffled: token, at (lid, and whether an earlier
+    similar line is still sought), size (n and position), parity. firsts has a column open."""
+    wide = lambda c: F.col(c).cast("long")
+    each = firsts.where(_joins(t)).select("lid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token")).where(F.col("token").isNotNull())
+    at, size = F.shiftleft("lid", 1).bitwiseOR(wide("open")), F.shiftleft(wide("n"), 32).bitwiseOR(wide("pos"))
+    return each.select("token", at.alias("at"), size.alias("size"), "parity")
+
+
+def similar_pairs(firsts: DataFrame, t: float) -> DataFrame:
+    """Pairs (lx, ly, apart: differing bits), lx before ly, that share a prefix token and pass the filters, ly being open. Both sides are the same rows in the same
+    columns, so one shuffle serves both; tokens of more than SPLIT entries are salted besides."""
+    each = entries(firsts, t)
+    both = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & _close(t)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
+    ids = [_lid("x").alias("lx"), _lid("y").alias("ly"), apart]
+    marked = each.where(F.col("token").bitwiseAND(F.lit(_MARKED)) != 0)
+    crowded = checkpointed(marked.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("token", F.ceil(F.col("c") / SPLIT).cast("int").alias("salts")))
+    if crowded.isEmpty():
+        return each.alias("x").join(each.alias("y"), both).select(ids)
+    table_ = small(crowded, SETTLED_ROWS)  # entries / SPLIT rows at most
+    rest = each.join(table_, "token", "left_anti")
+    dealt = each.join(table_, "token")
+    x = dealt.withColumn("salt", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int")).alias("x")
+    y = dealt.where(F.col("at").bitwiseAND(F.lit(1)) == 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+    return rest.alias("x").join(rest.alias("y"), both).select(ids).unionByName(x.join(y, both & (F.col("x.salt") == F.col("y.salt"))).select(ids))
+
+
+def thinning_pairs(firsts: DataFrame, t: float) -> DataFrame | None:
+    """Pairs (lx, ly) of equal size: each line of a crowd with the first line of each of REPRESENTATIVES hash classes of its crowds; None if
+    there are none. A crowd is a (token, size) group, the token being the least or the greatest of the prefix. Counts and first lines come
+    from partial aggregates, so no task holds a crowd."""
+    lines = firsts.where(_joins(t)).select("lid", "n", "parity", F.explode(F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))).alias("token")).where(F.col("token").isNotNull())
+    crowds = checkpointed(lines.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= CROWD).select("token", "n"))
+    if crowds.isEmpty():
+        return None
+    own = lines.join(small(crowds, SETTLED_ROWS), ["token", "n"])
+    first = own.groupBy("token", "n", F.pmod(F.xxhash64("lid"), F.lit(REPRESENTATIVES)).alias("class")).agg(F.min(F.struct("lid", "parity")).alias("m"))
+    leads = checkpointed(first.select("token", "n", "m.*"))
+    x, y, n = small(leads, SETTLED_ROWS).alias("x"), own.alias("y"), F.col("y.n")
+    need = F.ceil(n * (2 * t / (1 + t)) - 1e-9)
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    close = (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == n) & (apart <= 2 * (n - need)) & (F.col("x.lid") < F.col("y.lid"))
+    return y.join(x, close).select(F.col("x.lid").alias("lx"), F.col("y.lid").alias("ly"))
 
 
 def _spot(*of: str) -> Column:
@@ -144,84 +201,59 @@ def maybe_in(rows: DataFrame, some: DataFrame, *on: str) -> DataFrame:
     return rows.where(F.call_function("shiftright", byte, spot.bitwiseAND(F.lit(7)).cast("int")).bitwiseAND(F.lit(1)) == 1)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line_no, tie) of the later lines of those pairs (x, y structs of these three) that are similar on their whole token sets."""
+def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """lid of the later lines of those pairs (lx before ly) that are similar on their whole token sets."""
     pairs = checkpointed(pairs.distinct())
-    where = pairs.select("x.*").unionByName(pairs.select("y.*")).distinct()
+    wanted = pairs.select(F.col("lx").alias("lid")).unionByName(pairs.select(F.col("ly").alias("lid"))).distinct()
+    places = checkpointed(firsts.select("lid", *_PLACE).join(wanted, "lid", "left_semi"))
     # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
-    at = maybe_in(lines_of(docs), where, "doc_id", "line_no").alias("l").join(where.select("doc_id", "line_no").distinct().alias("w"), F.col("l.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("l.line_no") == F.col("w.line_no")))
-    sets = at.select("l.doc_id", "l.line_no", F.sort_array(_tokens(F.col("line"))).alias("set")).distinct()
-    is_ = lambda a, b: (F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id"))) & (F.col(f"{a}.line_no") == F.col(f"{b}.line_no"))
-    with_x = pairs.join(sets.alias("sx"), is_("x", "sx")).select("x", "y", F.col("sx.set").alias("a"))
-    both = with_x.join(sets.alias("sy"), is_("y", "sy")).select("y", "a", F.col("sy.set").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    similar = common >= F.lit(t) * (F.size("a") + F.size("b") - common) - 1e-9
-    return checkpointed(both.where(similar).select("y.*").distinct())
-
-
-def flagged(firsts: DataFrame, places: DataFrame) -> DataFrame:
-    """firsts with a column hit: whether places(doc_id, line_no, tie), distinct rows, has the line."""
-    p = places.select(F.col("doc_id").alias("p_doc"), F.col("line_no").alias("p_line"), F.col("tie").alias("p_tie"), F.lit(True).alias("p_hit"))
-    on = F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("line_no") == F.col("p_line")) & (F.col("tie") == F.col("p_tie"))
-    return firsts.join(p, on, "left").withColumn("hit", F.coalesce("p_hit", F.lit(False))).drop("p_doc", "p_line", "p_tie", "p_hit")
-
-
-def distinct_lines(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """The first line of each set: k1, k2, c (lines), doc_id, line_no, n, parity, prefix, tie. tie tells lines of one place apart: k1 where a
-    doc_id has several texts, else zero, so that it costs nothing in the shuffles."""
-    same = [F.first(c).alias(c) for c in ("n", "parity", "prefix")]  # equal for equal sets
-    firsts = signed.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "line_no")).alias("f"), F.count(F.lit(1)).alias("c"), *same).select("k1", "k2", "c", "f.*", "n", "parity", "prefix")
-    texts = docs.select(F.col("doc_id").cast("long").alias("t_doc"), F.xxhash64(text_or_empty()).alias("th"))
-    several = checkpointed(texts.groupBy("t_doc").agg((F.min("th") != F.max("th")).alias("several")).where("several"))
-    tied = firsts.join(small(several), F.col("doc_id").eqNullSafe(F.col("t_doc")), "left")
-    return table(tied.withColumn("tie", F.when(F.col("several"), F.col("k1")).otherwise(F.lit(0).cast("long"))).drop("t_doc", "several"))
-
-
-def _thinning_pairs(firsts: DataFrame, t: float) -> DataFrame:
-    """Pairs (x, y) of equal size that share a token of the prefix for equal sizes: each line with the first line of each of
-    REPRESENTATIVES hash classes of its (token, size) group. One shuffle serves the groups and the join; per key the join's
-    inner side is at most REPRESENTATIVES rows."""
-    n, pos = F.col("n"), F.col("pos")
-    place = F.struct("doc_id", "line_no", "tie", "pos", "parity")
-    each = firsts.where("n > 3").select("doc_id", "line_no", "tie", "n", "parity", F.posexplode("prefix").alias("pos", "token"))
-    rare = each.where(F.col("token").isNotNull() & (pos < _prefix(n, 2 * t / (1 + t)))).repartition("token", "n")
-    class_ = F.pmod(F.xxhash64("doc_id", "line_no", "tie"), F.lit(REPRESENTATIVES))
-    by = rare.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c"), *[F.min(F.when(class_ == i, place)).alias(f"m{i}") for i in range(REPRESENTATIVES)]).where("c > 1")
-    first = by.select("token", "n", F.explode(F.array(*[f"m{i}" for i in range(REPRESENTATIVES)])).alias("m")).where("m IS NOT NULL").select("token", "n", "m.*")
-    x, y, n = first.alias("x"), rare.alias("y"), F.col("y.n")
-    need = F.ceil(n * (2 * t / (1 + t)) - 1e-9)
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    id_ = lambda s: F.struct(f"{s}.doc_id", f"{s}.line_no", f"{s}.tie")
-    close = (apart <= 2 * (n - need)) & (n - F.greatest("x.pos", "y.pos") >= need) & (id_("x") < id_("y"))
-    return y.join(x, (F.col("x.token") == F.col("y.token")) & (F.col("x.n") == n) & close).select(id_("x").alias("x"), id_("y").alias("y"))
+    released(docs.sparkSession)
+    rows = maybe_in(lines_of(docs), places, "line_no", "th").alias("l")
+    at = rows.join(places.alias("p"), F.col("l.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("l.line_no") == F.col("p.line_no")) & (F.col("l.th") == F.col("p.th")))
+    sets = at.select("p.lid", F.sort_array(_hashes(_plain(F.col("line")))).alias("set")).dropDuplicates(["lid"])
+    both = pairs.join(sets.select(F.col("lid").alias("lx"), F.col("set").alias("sx")), "lx").join(sets.select(F.col("lid").alias("ly"), F.col("set").alias("sy")), "ly")
+    common = F.size(F.array_intersect("sx", "sy"))
+    similar = common >= F.lit(t) * (F.size("sx") + F.size("sy") - common) - 1e-9
+    return checkpointed(both.where(similar).select(F.col("ly").alias("lid")).distinct())
 
 
 def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """(doc_id, line_no, tie) of those of the distinct lines that have an earlier similar one."""
-    id_ = lambda s: F.struct(f"{s}.doc_id", F.shiftright(f"{s}.at", 32).cast("int").alias("line_no"), f"{s}.tie").alias(s)
-
-    settled = verified(_thinning_pairs(firsts, t), docs, t)
-
-    marked = flagged(firsts, small(settled, SETTLED_ROWS)).withColumn("open", ~F.col("hit"))
-    # Both sides are the same rows in the same columns, so one shuffle serves both.
-    entry = _entries(marked)
-    short = lambda s: _pos(s) < _prefix(_n(s), 2 * t / (1 + t))
-    x_or_y = ((_n("x") <= _n("y")) & short("x")) | ((_n("x") > _n("y")) & short("y"))
-    pairs = entry.alias("x").join(entry.alias("y"), (_token("x") == _token("y")) & _close(t) & x_or_y & _earlier())
-    return settled.unionByName(verified(pairs.select(id_("x"), id_("y")), docs, t))
+    """lid of those of the distinct lines that have an earlier similar one."""
+    spark, thin = firsts.sparkSession, thinning_pairs(firsts, t)
+    found = []
+    if thin is None:
+        marked = firsts.withColumn("open", F.lit(True))
+    else:
+        found.append(verified(thin, firsts, docs, t))
+        released(spark)
+        marked = firsts.join(small(found[0].withColumn("hit", F.lit(True)), SETTLED_ROWS), "lid", "left").withColumn("open", F.col("hit").isNull())
+    pairs = checkpointed(similar_pairs(marked, t).distinct())
+    released(spark)
+    # Most lines are settled by the pair that differs least; the others' pairs are verified, all of them, after that.
+    best = pairs.groupBy("ly").agg(F.min(F.struct("apart", "lx")).alias("b")).select("b.lx", "ly")
+    found.append(verified(best, firsts, docs, t))
+    rest = pairs.join(small(found[-1].withColumnRenamed("lid", "ly"), SETTLED_ROWS), "ly", "left_anti").join(best, ["lx", "ly"], "left_anti")
+    found.append(verified(rest.select("lx", "ly"), firsts, docs, t))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.distinct()
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY, rarity_bits: int | None = None) -> DataFrame:
     """doc_id, th, removed (sorted line numbers) of the documents that lose lines."""
-    lines = lines_of(docs)
     bits = RARITY_BITS if rarity_bits is None else rarity_bits
-    signed = table(signed_lines(lines, rarity_sketch(lines, bits), bits, similarity))
-    firsts = distinct_lines(signed, docs)
+    signed = table(signed_lines(docs, rarity_sketch(docs, bits), bits, similarity))
+    firsts = distinct_lines(signed)
+    released(docs.sparkSession)
     later = later_lines(firsts, docs, similarity)
-    # Sets of one line that stays have nothing to remove.
-    losing = checkpointed(flagged(firsts, later).where("hit OR c > 1").select("k1", "k2", "hit", F.struct("doc_id", "line_no").alias("f")))
-    gone = maybe_in(signed.select("doc_id", "th", "line_no", "k1", "k2"), losing, "k1").join(losing, ["k1", "k2"]).where(F.col("hit") | ~F.struct("doc_id", "line_no").eqNullSafe(F.col("f")))
-    return gone.select("doc_id", "th", "line_no").groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
+    released(docs.sparkSession)
+    hit = firsts.select("lid", *_PLACE).join(small(checkpointed(later), SETTLED_ROWS), "lid", "left_semi").select(*_PLACE)
+    # The other lines of a set go in any case.
+    several = checkpointed(firsts.where("c > 1").select("k1", "k2", F.struct(*_PLACE).alias("f")))
+    others = maybe_in(signed.select(*_PLACE, "k1", "k2"), several, "k1").join(several, ["k1", "k2"]).where(~F.struct(*_PLACE).eqNullSafe(F.col("f"))).select(*_PLACE)
+    gone = hit.unionByName(others)
+    return gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), similarity: float = SIMILARITY, rarity_bits: int | None = None, with_text: bool = True) -> DataFrame:
