@@ -5,7 +5,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weft.llm.pii import KINDS, base_spans, extract, luhn
+from weft.llm.pii import KINDS, base_spans, extract, instance_of, luhn, occurrences_of
 
 
 def brute(text):
@@ -65,3 +65,82 @@ def test_base_stays_and_patterns_find_more(spark):
 
 def test_empty_table(spark):
     assert extract(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def brute_scores(texts, rounds=5, accept=0.6, reliable=0.5, min_seeds=3):
+    """kind of every instance that is a seed or accepted, by plain dictionaries."""
+    occurrences = [o for t in texts for o in occurrences_of(t or "")]
+    seeds = {}
+    for o in occurrences:
+        if o["k"] >= 0:
+            seeds[o["instance"]] = min(o["k"], seeds.get(o["instance"], 9))
+    of = {}
+    for o in occurrences:
+        for p in o["patterns"]:
+            of.setdefault(p, set()).add(o["instance"])
+    of = {p: i for p, i in of.items() if len(i) > 1}
+    known = {i: (k, 1.0) for i, k in seeds.items()}
+    for _ in range(rounds):
+        good = {}
+        for p, members in of.items():
+            for k in range(4):
+                own = [known[i][1] for i in members if i in known and known[i][0] == k]
+                if len(own) >= min_seeds and sum(own) / (len(members) + 1) >= reliable:
+                    good[p, k] = sum(own) / (len(members) + 1)
+        doubt = {}
+        for (p, k), c in good.items():
+            for i in of[p]:
+                if i not in seeds:
+                    doubt[i, k] = doubt.get((i, k), 1.0) * (1 - c)
+        known = {i: (k, 1.0) for i, k in seeds.items()}
+        for i in {i for i, _ in doubt}:
+            score, k = max((1 - doubt[i, k], -k) for k in range(4) if (i, k) in doubt)
+            if score >= accept:
+                known[i] = (-k, score)
+    return {i: k for i, (k, _) in known.items()}
+
+
+def hidden_corpus(seed):
+    """Texts in which identifiers that no base rule matches stand where seeds stand, or where only such ones do; and numbers that are none."""
+    rng = random.Random(seed)
+    words = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do".split()
+    fill = lambda: " ".join(rng.choices(words, k=rng.randrange(3, 9)))
+    texts, hidden, decoys = [], {}, set()
+    for i in range(30):
+        texts.append(f"{fill()} call us on +44 (20) 79{i:02d}-1{i:03d} now {fill()}")
+        texts.append(f"{fill()} mail to: user{i}@mail{i % 3}.example.com today {fill()}")
+        decoys.add(number := f"{rng.randrange(10**15, 10**16)}7")
+        texts.append(f"{fill()} {number} {fill()} 12,{i:03d} {fill()}")
+    for i in range(8):
+        hidden[x := f"020-79{i}0-4{i}55"] = "phone"
+        texts.append(f"{fill()} call us on {x} now {fill()}")
+        texts.append(f"{fill()} telephone desk {x} open {fill()}")  # raises a pattern that no seed has
+        hidden[x := f"someone{i} (at) example{i} (dot) org"] = "email"
+        texts.append(f"{fill()} mail to: {x} today {fill()}")
+    for i in range(4):
+        hidden[x := f"ext/77{i}4-9{i}"] = "phone"
+        texts.append(f"{fill()} telephone desk {x} open {fill()}")
+    rng.shuffle(texts)
+    return texts, hidden, decoys
+
+
+def test_patterns_propose_fillers_and_are_raised_by_them(spark):
+    for seed in range(2):
+        texts, hidden, decoys = hidden_corpus(seed)
+        out = extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+        want, added = brute_scores(texts), []
+        for r in out:
+            t = texts[r["doc_id"]]
+            new = [(t[f["s"] : f["e"]], KINDS[f["k"]]) for f in r["found"] if not f["seed"]]
+            assert all(want[instance_of(x)] == KINDS.index(k) for x, k in new)
+            added += new
+        assert set(added) == {(x.replace("ext/", "ext/"), k) for x, k in hidden.items()}
+        assert not any(d in x for x, _ in added for d in decoys)
+        first_round = brute_scores(texts, rounds=1)
+        assert any(instance_of(x) not in first_round for x, _ in added)  # found only once accepted ones raise a pattern
+
+
+def test_known_identifiers_where_the_base_rule_fails(spark):
+    texts = ["a 4111111111111111 b", "c 1234567890123456789 4111111111111111 d", "e 1.2.3.4 f", "g 1234 h"]
+    out = {r["doc_id"]: r["spans"] for r in extract(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out == {0: "card:2:18", 1: "card:22:38", 2: "ip:2:9", 3: ""}
