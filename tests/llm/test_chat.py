@@ -3,7 +3,7 @@ import hashlib
 from hypothesis import given
 from hypothesis import strategies as st
 
-from weft.llm.chat import CLOSE, PART, Reader, Visitor, assemble, escape, format_conversations, read_back, unescape
+from weft.llm.chat import CLOSE, PART, Reader, Visitor, assemble, escape, escape_role, format_conversations, read_back, unescape
 
 
 @given(st.text(alphabet="<\\/s>[INT]a\n", max_size=40))
@@ -53,3 +53,23 @@ def test_reader_and_visitor_alone():
     content, _, _ = Visitor().turn([{"type": "text", "text": "x" * 200_000 + "<"}])
     reader.read(f"<s><turn u>\n{content}\n</turn>", [])
     assert reader.row()["turns_sha256"] == digest([("u", "x" * 200_000 + "<")])
+
+
+@given(st.text(alphabet="<\\/s>a\n ", max_size=30), st.text(alphabet="<\\/>\n[INST]", max_size=30))
+def test_any_role_is_reversible(role, text):
+    segment = f"<s><turn {escape_role(role)}>\n{escape(text)}\n</turn>"
+    reader = Reader(1)
+    reader.read(segment, [])
+    assert reader.row()["turns_sha256"] == digest([(role, text)]) and reader.row()["n_turns"] == 1
+
+
+def test_roles_through_spark(spark):
+    rows = [(1, 0, "a>\nb", "x"), (1, 1, "</turn>\\>", ">\n"), (1, 2, ">", "")]
+    out = read_back(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    assert out["turns_sha256"] == digest([(r, t) for _, _, r, t in rows])
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"{i}<" * 50) for i in range(12_000)]
+    out = read_back(format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
+    assert [(r["n_turns"], r["turns_sha256"]) for r in out] == [(12_000, digest([(r, t) for _, _, r, t in rows]))]

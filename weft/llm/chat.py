@@ -3,7 +3,8 @@
 A visitor flattens the parts of a turn (text, image, audio, document) in order: text is escaped, every attachment
 becomes a placeholder with its number in the conversation, its reference is recorded, and its tokens are counted as
 expanded (image tiles, audio seconds, document pages). Turns are marked by control strings; a text can't hold one, as
-every "<" and every backslash in it is followed by a backslash, which read() takes away again.
+every "<" and every backslash in it is followed by a backslash, which read() takes away again; in a role every ">" is too, so its mark
+ends at the first ">" before a line end.
 
     <s><turn user>\\nHello\\n</turn><turn assistant>\\nHi\\n</turn></s>
 
@@ -35,7 +36,12 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<", "<\\") if "<" in text or "\\" in text else text
 
 
-def unescape(text: str) -> str:
+def escape_role(role: str) -> str:
+    """As a text, and every ">" is followed by a backslash too: a role can't end its own mark."""
+    return escape(role).replace(">", ">\\")
+
+
+def unescape(text: str, marks: str = "<") -> str:
     if "\\" not in text:
         return text
     out, i = [], 0
@@ -44,8 +50,8 @@ def unescape(text: str) -> str:
         if at < 0:
             out.append(text[i:])
             return "".join(out)
-        # "<\" stands for "<"; a backslash not after "<" stands with its twin
-        if at > i and text[at - 1] == "<":
+        # "<\" stands for "<"; a backslash not after a mark stands with its twin
+        if at > i and text[at - 1] in marks:
             out.append(text[i:at])
             i = at + 1
         else:
@@ -116,7 +122,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
                     conv, seq, visitor, head = (row["conv_id"],), 0, Visitor(), OPEN
                 given = row["parts"] if row["parts"] is not None else [{"type": "text", "text": row["text"]}]
                 content, attachments, tokens = visitor.turn(given)
-                head += f"<turn {escape(row['role'])}>\n"
+                head += f"<turn {escape_role(row['role'])}>\n"
                 mask = [{"start": len(head), "end": len(head) + len(content)}] if row["role"] in loss_roles and content else []
                 out.append({"conv_id": conv[0], "seq": seq, "role": row["role"], "segment": f"{head}{content}{END_TURN}", "mask": mask, "attachments": attachments, "tokens": tokens})
                 seq += 1
@@ -155,14 +161,15 @@ class Reader:
             head, rest = body[len("<turn ") :].split(">\n", 1)
             content, body = rest.split(END_TURN, 1)
             self.n += 1
-            self.all.update(f"{unescape(head)}\n{unescape(content)}\n".encode())
+            self.all.update(f"{unescape(head, '<>')}\n{unescape(content)}\n".encode())
 
     def row(self) -> dict:
         return {"conv_id": self.conv_id, "n_turns": self.n, "turns_sha256": self.all.hexdigest(), "loss_chars": self.loss, "loss_sha256": self.under.hexdigest(), "formatted_chars": self.chars}
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """What the formatted output says, read from its segments as format_conversations() leaves them, one pass, no shuffle."""
+    """What the formatted output says, read from its segments, one pass, no shuffle. The segments must come as format_conversations() leaves
+    them: a conversation's rows in one partition, next to each other, in the order of seq."""
     kind = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
     def run(batches):
