@@ -3,6 +3,7 @@ from pathlib import Path
 
 import duckdb
 
+from weft.llm import mixing
 from weft.llm.mixing import mix
 from weft.llm.queries import SQL
 
@@ -46,3 +47,21 @@ def test_one_source_empty_and_repeats(spark, tmp_path):
 def test_native():
     source = Path(mix.__code__.co_filename).read_text()
     assert not any(x in source for x in ("udf", "mapIn", "applyIn", ".rdd", "toPandas"))
+
+
+def near_target(out):
+    by = {}
+    for r in out:
+        by.setdefault(r["source"], []).append(r)
+    for rs in by.values():
+        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= max(r["size"] for r in rs)
+        assert all(r["taken"] <= 3 * r["size"] for r in rs)
+
+
+def test_ties_are_cut_inside(spark, monkeypatch):
+    rows = [(None, f"a{i} b c d e f g h i j k l m n o p q r s t", "a") for i in range(400)]  # null ids, texts of their own
+    rows += [(None, "x " * 20, "b")] * 300 + [(7, "y " * 20, "c")] * 300 + [(i, "z " * 10, "d") for i in range(50)]  # equal rows
+    near_target(mix(table(spark, rows)).collect())
+    near_target(mix(table(spark, rows), keep=("text",)).collect())
+    monkeypatch.setattr(mixing, "WINDOW_ROWS", 5)  # all digits of the key
+    near_target(mix(table(spark, rows)).collect())

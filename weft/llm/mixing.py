@@ -5,13 +5,14 @@ Within a source a document is expected e copies, cap at most, in proportion to i
 long documents repeat a little less), so that the expected words make the target. floor(e) copies are certain; the
 rest of the target is a Pareto sample: documents are ranked by the random odds u/(1-u) over the odds of inclusion of
 the remaining fraction of e, and taken in that order until the words suffice (to the nearest document). u comes from
-the MD5 of doc_id and seed, so reruns agree, on any layout.
+the MD5 of doc_id (of the text where that is null) and seed, so reruns agree, on any layout.
 
-The cut in the ranking is found by digits: sums of words by source and digit of the rank (256 at most), three times, so a
-hot source is never sorted in one task; only the documents that share the last 24-bit rank are ordered by a window.
+The cut in the ranking is found by digits of a key: sums of words by source and digit (256 at most), three times, so a hot source is
+never sorted in one task. The key is the rank's RANK_BITS bits, and then TIE_BITS of a hash that tells rows of one rank apart; further
+digits are taken while more than WINDOW_ROWS documents of a source share those so far, and only what is left is ordered by a window.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents without words,
-and those of sources without any, take 0; equal ranks go by doc_id (null first); repeated rows count as documents of
+and those of sources without any, take 0; equal ranks go by a hash; repeated rows count as documents of
 their own, of equal ones any may be taken. Empty tables give an empty result. Other columns are ignored.
 """
 
@@ -20,12 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed, small, word_count
+from weft.llm.common import checkpointed, small, text_or_empty, word_count
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 SEED = 7
-RANK_BITS = 24
+RANK_BITS, TIE_BITS, DIGIT = 32, 24, 8
+WINDOW_ROWS = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -65,14 +67,15 @@ def expected_copies(levels: DataFrame, cap: int = CAP) -> DataFrame:
 
 def _uniform(seed: int) -> Column:
     """(0, 1), from the first 48 bits of an MD5."""
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}"))
+    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.md5(text_or_empty())), F.lit(f":{seed}"))
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs(doc_id, text, source, ...), with the columns `keep` of it besides."""
     size = word_count().alias("size")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, *keep)
+    rid = F.monotonically_increasing_id().alias("rid")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size, _uniform(seed).alias("u"), rid, *keep)
     base = base.withColumn("w", F.lit(64) - F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)).withColumn("w", F.col("w").cast("long"))
     lean = checkpointed(base.drop(*keep))
     sums = checkpointed(lean.groupBy("source", "w").agg(F.sum("size").alias("words")))
@@ -88,35 +91,40 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, seed: int = SEED, keep
 
     odds = F.col("u") / (1 - F.col("u"))
     rank = odds / (F.col("part") / (1 - F.col("part")))
-    key = F.least(F.floor(rank / (1 + rank) * (1 << RANK_BITS)), F.lit((1 << RANK_BITS) - 1)).cast("int")
+    top = F.least(F.floor(rank / (1 + rank) * (1 << RANK_BITS)), F.lit((1 << RANK_BITS) - 1)).cast("long")
+    tie = F.xxhash64("doc_id", "rid").bitwiseAND(F.lit((1 << TIE_BITS) - 1))
 
     def settled(rows: DataFrame) -> DataFrame:
         of = rows.alias("d").join(small(settings).alias("s"), same("d", "s", "w"), "left").select("d.*", "certain", "part", "rest")
-        of = of.withColumn("u", _uniform(seed)).withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), rank))
-        return of.withColumn("key", F.when(F.col("rank").isNotNull(), key))
-
-    ranked = settled(lean).where(F.col("rank").isNotNull()).select("doc_id", "source", "size", "rest", "rank", "key")
-    at = ranked
-    found = None
-    for digit in range(RANK_BITS // 8 - 1, -1, -1):
+        of = of.withColumn("rank", F.when((F.col("part") > 0) & (F.col("size") > 0), rank))
+        return of.withColumn("key", F.when(F.col("rank").isNotNull(), F.shiftleft(top, TIE_BITS).bitwiseOR(tie)))
+
+    ranked = settled(lean).where(F.col("rank").isNotNull()).select("source", "size", "rest", "key", "rid")
+    digits = (RANK_BITS + TIE_BITS) // DIGIT
+    head_of = lambda key, depth: F.shiftright(key, (digits - depth) * DIGIT)
+    found, depth, most = None, 0, 0
+    while depth < 3 or (most > WINDOW_ROWS and depth < digits):
         if found is not None:  # only what shares the digits so far
-            at = ranked.alias("d").join(small(found).alias("f"), [*same("d", "f"), F.shiftright("d.key", 8 * digit + 8) == F.col("f.head")]).select("d.*", "f.below", "f.head")
+            at = ranked.alias("d").join(small(found).alias("f"), [*same("d", "f"), head_of("d.key", depth) == F.col("f.head")]).select("d.*", "f.below", "f.head")
         else:
-            at = ranked.withColumn("below", F.lit(0).cast("long")).withColumn("head", F.lit(0))
-        bins = at.groupBy("source", "rest", "head", "below", F.shiftright("key", 8 * digit).bitwiseAND(F.lit(255)).alias("bin")).agg(F.sum("size").alias("words"))
+            at = ranked.withColumn("below", F.lit(0).cast("long")).withColumn("head", F.lit(0).cast("long"))
+        depth += 1
+        bins = at.groupBy("source", "rest", "head", "below", head_of("key", depth).bitwiseAND(F.lit((1 << DIGIT) - 1)).alias("bin")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
         order = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         bins = bins.withColumn("through", F.col("below") + F.sum("words").over(order)).where(F.col("through") >= F.col("rest"))
-        first = bins.groupBy("source").agg(F.min(F.struct("bin", "through", "words", "head")).alias("x"))
-        found = checkpointed(first.select("source", (F.shiftleft("x.head", 8) + F.col("x.bin")).alias("head"), (F.col("x.through") - F.col("x.words")).alias("below")))
-    last = ranked.alias("d").join(small(found).alias("f"), [*same("d", "f"), F.col("d.key") == F.col("f.head")]).select("d.*", "f.below")
-    order = Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        first = bins.groupBy("source").agg(F.min(F.struct("bin", "through", "words", "head", "rows")).alias("x"))
+        found = checkpointed(first.select("source", (F.shiftleft("x.head", DIGIT) + F.col("x.bin")).alias("head"), (F.col("x.through") - F.col("x.words")).alias("below"), F.col("x.rows").alias("rows")))
+        most = found.agg(F.max("rows")).first()[0] or 0
+    last = ranked.alias("d").join(small(found).alias("f"), [*same("d", "f"), head_of("d.key", depth) == F.col("f.head")]).select("d.*", "f.below")
+    order = Window.partitionBy("source").orderBy("key", "rid").rowsBetween(Window.unboundedPreceding, -1)
     close = last.withColumn("before", F.col("below") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    # The cut itself: the last document taken, by rank and doc_id. Where a source has none, nothing of that 24-bit rank is taken.
-    cut = close.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("rank", "doc_id")).alias("cut"))
+    # The cut itself: the last document taken. Where a source has none, nothing of these digits is taken.
+    cut = close.where(F.col("before") + F.col("size") / 2 <= F.col("rest")).groupBy("source").agg(F.max(F.struct("key", "rid")).alias("cut"))
     cuts = checkpointed(found.alias("f").join(cut.alias("c"), same("f", "c"), "left").select("f.source", "head", "cut"))
 
     out = settled(base if keep else lean).alias("d").join(small(targets).alias("t"), same("d", "t")).join(small(cuts).alias("c"), same("d", "c"), "left")
-    extra = F.when(F.col("rank").isNull(), False).when(F.col("head").isNull(), True).when(F.col("key") != F.col("head"), F.col("key") < F.col("head")).otherwise(F.coalesce(F.struct("rank", F.col("d.doc_id").alias("doc_id")) <= F.col("cut"), F.lit(False)))
+    own = head_of("key", depth)
+    extra = F.when(F.col("rank").isNull(), False).when(F.col("head").isNull(), True).when(own != F.col("head"), own < F.col("head")).otherwise(F.coalesce(F.struct("key", "rid") <= F.col("cut"), F.lit(False)))
     copies = (F.coalesce("certain", F.lit(0)) + extra.cast("long")).cast("long").alias("copies")
     out = out.select("d.doc_id", "d.source", "d.size", "source_size", "target", copies, *[f"d.{k}" for k in keep])
     return out.withColumn("taken", F.col("copies") * F.col("size"))

@@ -83,11 +83,11 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       (7 + sum(16 + length(role) + length(regexp_replace(role, '[^<\\]', '', 'g')) + length(text) + length(regexp_replace(text, '[^<\\]', '', 'g'))))::BIGINT AS formatted_chars
+       (7 + sum(16 + length(role) + length(regexp_replace(role, '[^<>\\]', '', 'g')) + length(text) + length(regexp_replace(text, '[^<\\]', '', 'g'))))::BIGINT AS formatted_chars
 FROM t GROUP BY conv_id""",
     "op4_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, text, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 sw AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INT + 1]::BIGINT AS w FROM s),
 f AS (
@@ -109,7 +109,7 @@ le AS (
 r AS (SELECT source, any_value(target) - sum(floor(e)::BIGINT * words)::BIGINT AS rest FROM le GROUP BY source),
 x AS (
   SELECT dl.doc_id, dl.source, dl.size, t.source_size, t.target, floor(coalesce(e, 0))::BIGINT AS certain, e - floor(e) AS part, rest,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':7'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, ''))) || ':7'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM dl JOIN t ON dl.source IS NOT DISTINCT FROM t.source
   LEFT JOIN le ON dl.source IS NOT DISTINCT FROM le.source AND dl.w = le.w AND dl.size > 0
   LEFT JOIN r ON dl.source IS NOT DISTINCT FROM r.source),
