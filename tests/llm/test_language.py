@@ -57,3 +57,15 @@ def test_defined_results(spark, monkeypatch):
     whole = identify(long, model, letter_table(), 4.0)
     monkeypatch.setattr(language, "SLICE", 64)
     assert identify(long, model, letter_table(), 4.0) == whole
+
+
+@pytest.mark.parametrize("text", ["hello\n" * 300, "the\tcat\tand\tthe\tdog\t" * 60, "собака" * 200, "the cat " * 50 + "x" * 500 + " the dog" * 50, "猫犬" * 400 + "。the dog"])
+def test_long_texts_without_spaces_are_whole(spark, monkeypatch, text):
+    model, letters = learn(corpus(spark)), letter_table()
+    whole = identify(text, model, letters, 4.0)
+    monkeypatch.setattr(language, "SLICE", 64)
+    assert "".join(part for _, part in language.slices(text)) == text
+    cuts = [at for at, _ in language.slices(text)][1:]
+    assert not any(c < len(text) and text[c - 1].isalpha() and text[c].isalpha() for c in cuts)
+    got = identify(text, model, letters, 4.0)
+    assert (got[0], got[2]) == (whole[0], whole[2]) and got[1] == pytest.approx(whole[1])

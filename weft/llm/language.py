@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 16
 PER_LANGUAGE = 2000
 PENALTY = 12.0
+#: Characters of a text that are turned into arrays at once; results don't depend on it.
 SLICE = 1 << 19
 #: First code points of script blocks, and the script from there on (0: other letters).
 SCRIPT_STARTS = (0x0000, 0x0250, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900, 0x0980, 0x0E00, 0x0E80, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3130, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00)
@@ -105,10 +106,16 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 
 def slices(text: str):
-    """(offset, part): long texts in parts that end behind a space, where there is one."""
+    """(offset, part): long texts in parts that end at no letter, so no word is cut; a word longer than a part is a part of its own."""
     at = 0
     while len(text) - at > SLICE:
-        cut = text.rfind(" ", at + 1, at + SLICE) + 1 or at + SLICE
+        cut = at + SLICE
+        while cut > at and text[cut - 1].isalpha() and text[cut].isalpha():
+            cut -= 1
+        if cut == at:
+            cut = at + SLICE
+            while cut < len(text) and text[cut].isalpha():
+                cut += 1
         yield at, text[at:cut]
         at = cut
     yield at, text[at:]
