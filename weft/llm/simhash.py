@@ -24,10 +24,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.llm.common import checkpointed
+from weft.llm.common import checkpointed, small
 
 SEED = 42
 BLOCK = 1 << 15
+#: Copies from which a fingerprint's rows are not shuffled; the table of such fingerprints is broadcast if its counted size allows it.
+HEAVY = 1000
 #: Shingles whose bits are unpacked at once.
 UNPACK = 1 << 17
 
@@ -205,10 +207,15 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, segments: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links) for every row of docs."""
     rows = checkpointed(fingerprints(docs, shingle))
-    fps = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    fps = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("c")))
     roots = components(links(fps.select("fp"), radius, segments))
     nodes = roots.select(F.col("u").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct())
-    linked = nodes.join(fps, "fp")
+    linked = nodes.join(fps.select("fp", "first_id"), "fp")
     named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    of = fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = checkpointed(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "c"))
+    # Rows of a fingerprint with many copies find their component where they are: there are few such fingerprints.
+    heavy = small(of.where(F.col("c") >= HEAVY).select("fp", "component_id", F.lit(True).alias("heavy")))
+    light = of.where(F.col("c") < HEAVY).select("fp", "component_id")
+    marked = rows.join(heavy, "fp", "left")
+    there = marked.where("heavy").select("doc_id", "fp", "component_id").unionByName(marked.where("heavy IS NULL").select("doc_id", "fp").join(light, "fp").select("doc_id", "fp", "component_id"))
+    return there.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
