@@ -62,7 +62,7 @@ def test_all_within_the_radius_are_met():
         fp = int(index.fps[i])
         for b in rng.sample(range(64), rng.randrange(24)):
             fp ^= 1 << b
-        assert i in index.meets(fp)
+        assert i in index.meets(fp, 12)
 
 
 def test_repeats_and_empty_tables(spark):
@@ -89,3 +89,11 @@ def test_documents_shorter_than_an_item(spark):
     assert sum(j < 1 for j in want.values()) > 10
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in contaminated(df, bench).collect()} == want
+
+
+def test_null_ids_and_a_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    long = " ".join(f"x{i % 977}" for i in range(200_000)) + " " + item + " " + "y " * 200_000
+    df = spark.createDataFrame([(None, item, 1.5), (2, long, 0.0)], "doc_id long, text string, similarity double")
+    got = {(r["doc_id"], r["item_id"], r["start_word"]) for r in contaminated(df, spark.createDataFrame([(None, item)], "item_id long, text string")).collect()}
+    assert got == {(None, None, 0), (2, None, 200_000)}

@@ -10,9 +10,10 @@ leaves out nothing. A pair at similarity 0.8 differs in 10 bits on average and i
 A document shorter than an item is one window, the whole of it.
 
 Words are \\w+ runs of the lower-cased text. Items with fewer than five words: their whole word sequence is the shingle.
-The benchmark is a stated query set: it is taken in blocks of at most `block` items, a pass over the documents for each.
+The benchmark is a stated query set: it is taken in blocks of at most `block` items and about BLOCK_CHARS characters, a pass over the
+documents for each.
 
-Defined results: null and empty texts, documents or items, match nothing; repeated documents or items give repeated
+Defined results: null and empty texts, documents or items, match nothing; a null doc_id or item_id is an id like any other; repeated documents or items give repeated
 pairs for their ids, equal pairs once; ties between windows go to the first one. Empty tables give an empty result.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, SIMILARITY, BALL = 5, 0.8, 2
 RADIUS = 8 * (BALL + 1) - 1
-BLOCK = 20_000
+BLOCK, BLOCK_CHARS = 20_000, 1 << 24
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 WORDS = re.compile(r"\w+")
 
@@ -85,15 +86,20 @@ class Index:
         self.known = {k: np.array(sorted(h for kk, h in holders if kk == k), np.uint64) for k in {k for k, _ in holders}}
         self.widths = dict(holders)  # (k, shingle): the word counts of the items that hold it
         near = [[v ^ m for m in range(256) if m.bit_count() <= BALL] for v in range(256)]
-        at = defaultdict(list)  # (byte, value): items
+        at = defaultdict(list)  # (word count, byte, value): items
         for i, fp in enumerate(fps):
             for b in range(8):
-                at[b, int(fp) >> 8 * b & 255].append(i)
-        self.tables = [[np.array(sorted({i for v in near[value] for i in at.get((b, v), ())}), np.int64) for value in range(256)] for b in range(8)]
-
-    def meets(self, fp: int) -> np.ndarray:
-        """Items within RADIUS bits."""
-        found = np.unique(np.concatenate([self.tables[b][fp >> 8 * b & 255] for b in range(8)]))
+                for v in near[int(fp) >> 8 * b & 255]:
+                    at[self.sizes[i], b, v].append(i)
+        # A window can only be like an item of its own word count, so every count has tables of its own.
+        self.tables = {key: np.array(items, np.int64) for key, items in at.items()}
+
+    def meets(self, fp: int, size: int) -> np.ndarray:
+        """Items of `size` words within RADIUS bits."""
+        met = [t for b in range(8) if (t := self.tables.get((size, b, fp >> 8 * b & 255))) is not None]
+        if not met:
+            return np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(met))
         return found[np.bitwise_count(self.fps[found] ^ np.uint64(fp)) <= RADIUS]
 
     def matches(self, text: str | None, similarity: float):
@@ -131,12 +137,11 @@ class Index:
             if any(n + 1e-9 >= similarity * (width - k + 1) for width in longer):
                 own = Counter(hashes.tolist())
                 fp = int(fingerprint(unpack(hashes).sum(axis=0, dtype=np.int64), n)[0])
-                for i in self.meets(fp).tolist():
-                    if self.sizes[i] in longer:
-                        both = sum(min(c, self.counts[i].get(h, 0)) for h, c in own.items())
-                        j = both / (n + self.sizes[i] - k + 1 - both)
-                        if j >= similarity and j > best.get(i, (0,))[0]:
-                            best[i] = (j, 0, len(words), int(np.bitwise_count(self.fps[i] ^ np.uint64(fp))))
+                for i in (i for size in longer for i in self.meets(fp, size).tolist()):
+                    both = sum(min(c, self.counts[i].get(h, 0)) for h, c in own.items())
+                    j = both / (n + self.sizes[i] - k + 1 - both)
+                    if j >= similarity and j > best.get(i, (0,))[0]:
+                        best[i] = (j, 0, len(words), int(np.bitwise_count(self.fps[i] ^ np.uint64(fp))))
             for width, stretches in spans.items():
                 n = width - k + 1
                 for lo, hi in stretches:
@@ -144,7 +149,7 @@ class Index:
                     sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(unpack(part), axis=0, dtype=np.int32)))
                     fps = fingerprint(sums[n:] - sums[:-n], n)
                     for s, fp in enumerate(fps.tolist()):
-                        items = [i for i in self.meets(fp).tolist() if self.sizes[i] == width]
+                        items = self.meets(fp, width).tolist()
                         if not items:
                             continue
                         own = Counter(part[s : s + n].tolist())
@@ -175,12 +180,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         return rows.mapInArrow(run, schema)
 
     items: list[tuple[int, str | None]] = []
-    passes = []
+    passes, held = [], 0
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         items.append(tuple(row))
-        if len(items) == block:
+        held += len(row["text"] or "")
+        if len(items) == block or held >= BLOCK_CHARS:
             passes.append(pass_over(spark.sparkContext.broadcast(items)))
-            items = []
+            items, held = [], 0
     if items:
         passes.append(pass_over(spark.sparkContext.broadcast(items)))
     if not passes:
