@@ -9,7 +9,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from weft.operators import config, planner, validation
+from weft.operators import config, missions, planner, validation
 from weft.plans import planning
 
 BIG = config.synthetic(600, 44, 6, 8)
@@ -220,3 +220,16 @@ def test_shuffle_is_the_contracts(spark):
 
 def test_planning_queries_are_registered():
     assert {"quota_plan_full", "simulations_full", "projection_22", "audit_six_grains", "validate_config", "validate_generated"} <= set(planning.QUERIES)
+
+
+def test_missions(spark):
+    people = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "persona_id long, dados string")
+    places = spark.createDataFrame([("x", "dx"), ("y", "dy")], "cenario_id string, dados_cenario string")
+    have = spark.createDataFrame([(1, "x")], "persona_id long, cenario_id string")
+    assert sorted(map(tuple, missions.pairs(people, places, have).collect())) == [(1, "y"), (2, "x"), (2, "y")]
+    made = spark.createDataFrame([(10, 1, "x"), (11, 1, "y"), (12, 9, "x")], "missao_id long, persona_id long, cenario_id string")
+    details = missions.detailed(made, people.distinct(), places)
+    assert sorted(r["missao_id"] for r in details.collect()) == [10, 11]
+    templates = spark.createDataFrame([(10,), (None,)], "missao_id long")
+    assert [r["dados_cenario"] for r in missions.pending(details, templates).collect()] == ["dy"]
+    assert [r for r, _ in missions.few_shot("s", [("q", "a")], "x")] == ["system", "user", "assistant", "user"]

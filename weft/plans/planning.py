@@ -6,8 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from weft.operators import config, planner, validation
-from weft.plans.catalog import _WEIGHTS, QUERIES, query
+from weft.operators import config, missions, planner, validation
+from weft.plans.catalog import _WEIGHTS, QUERIES, query, read
 
 N, SEED = 6000, 44
 CONFIG = config.synthetic(N, SEED)
@@ -170,4 +170,16 @@ def validate_generated(spark, sf):
     return found.where(~F.col("rule").startswith("quota_")).select("rule", "key")
 
 
+@query("""SELECT o_orderkey AS missao_id, o_custkey AS persona_id, n_nationkey::BIGINT AS cenario_id, c_name AS dados_persona, n_name AS dados_cenario
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = o_orderkey % 30
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber >= 5)""")
+def missions_pending(spark, sf):
+    """Missions with their personas and scenarios (a sixth have an unknown one) that have no template."""
+    made = read(spark, sf, "orders").select(F.col("o_orderkey").alias("missao_id"), F.col("o_custkey").alias("persona_id"), (F.col("o_orderkey") % 30).alias("cenario_id"))
+    people = read(spark, sf, "customer").select(F.col("c_custkey").alias("persona_id"), F.col("c_name").alias("dados"))
+    scenarios = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("cenario_id"), F.col("n_name").alias("dados_cenario"))
+    templates = read(spark, sf, "lineitem").where("l_linenumber >= 5").select(F.col("l_orderkey").alias("missao_id")).distinct()
+    return missions.pending(missions.detailed(made, people, scenarios), templates).select("missao_id", "persona_id", "cenario_id", "dados_persona", "dados_cenario")
+
+
 __all__ = ["QUERIES"]
