@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weft.functions.scratch import checkpointed
 from weft.functions.text import compose, squeeze, truncate
 
 # Fixed values of the planning contract.
@@ -158,13 +159,14 @@ class Plan:
     """The quotas of a config, at all grains, and the base grid that they rest on."""
 
     def __init__(self, t) -> None:
-        self.days = t.days().join(dimension(t.calendar.select("day_id", "weekend")), "day_id")
-        self.personas = t.persona_quotas()
-        self.grid = base_grid(self.days, self.personas)
+        # Each is read by several grains: computed once, so their plans stay small.
+        self.days = checkpointed(t.days().join(dimension(t.calendar.select("day_id", "weekend")), "day_id"))
+        self.personas = checkpointed(t.persona_quotas())
+        self.grid = checkpointed(base_grid(self.days, self.personas))
         n = F.count(F.lit(1)).alias("n")
         split = self.grid.groupBy("persona", "weekend").agg(n)
         both = t.persona_weights.select("persona").crossJoin(t.calendar.select("weekend").distinct())  # two rows a persona
-        self.weekends = both.join(split, ["persona", "weekend"], "left").select("persona", "weekend", F.coalesce("n", F.lit(0)).alias("n"))
+        self.weekends = checkpointed(both.join(split, ["persona", "weekend"], "left").select("persona", "weekend", F.coalesce("n", F.lit(0)).alias("n")))
         own = dimension(self.personas.select("persona", F.col("quota").alias("n")))
         self.offsets = apportion(t.offset_weights.join(dimension(self.weekends), ["persona", "weekend"]), F.col("n"), ["offset"], by=("persona", "weekend"))
         self.rhythms = apportion(t.rhythm_weights.join(own, "persona"), F.col("n"), ["rhythm"], by=("persona",))

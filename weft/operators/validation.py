@@ -13,6 +13,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions.scratch import checkpointed
 from weft.operators import config as c
 from weft.operators import planner
 
@@ -324,6 +325,7 @@ def generated_violations(rows: DataFrame, t: c.Tables, plan: DataFrame) -> DataF
     """(rule, key, detail) of generated rows(id, dia_relativo, ...) against the config's tables and its plan of quotas."""
     if set(rows.columns) != set(FIELDS):
         return violation_rows(rows.sparkSession, [("fields", ",".join(sorted(rows.columns)), "")]).withColumnRenamed("path", "key")
+    rows, plan = checkpointed(rows), checkpointed(plan)  # every rule reads them
     v = lambda df, rule, key, detail: df.select(F.lit(rule).alias("rule"), F.col(key).cast("string").alias("key"), F.col(detail).cast("string").alias("detail"))
     total = rows.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") != t.n).withColumn("want", F.lit(t.n))
     out = v(total, "total", "n", "want")
