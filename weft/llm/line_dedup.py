@@ -3,9 +3,9 @@
 A line is the set of its lower-cased words. Its tokens are ordered by rarity: a sketch of 2^rarity_bits counters, one byte
 each, holds the order of magnitude of every token's frequency over all lines (of the tokens that share a counter the
 sum: any fixed order is right, a rarer one only quicker). Two lines of Jaccard similarity t or more share a token
-within short prefixes of that order; entries meet by token, and the length filter, the positional filter and a parity bitmap
-(its bits differ in no more places than the sets in tokens) leave few pairs, which are verified on the whole token sets. A
-token whose counter is one is in no other line and is left out of the join.
+within short prefixes of that order; entries meet by token, and the length filter, the positional filter, the number of tokens common
+to the prefixes and a parity bitmap (its bits differ in no more places than the sets in tokens) leave few pairs, which are verified on the
+whole token sets. A token whose counter is one is in no other line and is left out of the join.
 
 A line is removed if an earlier one (by doc_id, then line number) is equal as a set or similar; the earlier one need not
 stay itself. Equal sets are settled by one aggregate, and the distinct sets numbered in the order of their first lines. Crowds of
@@ -120,17 +120,18 @@ def _pos(s: str) -> Column:
 
 
 def _close(t: float) -> Column:
-    """Length, positional and bitmap filters for entries x and y of one token: the shorter line's place is within the prefix for equal sizes;
-    nothing is near a settled line as the later one. (That stands within a comparison of both sides, or it would be taken into one of them
-    and there would be two shuffles.)"""
+    """Length, positional and bitmap filters for entries x and y of one token, x being the earlier line: the shorter line's place is within the
+    prefix for equal sizes; nothing is near a settled line as the later one. (That stands within a comparison of both sides, or it would be
+    taken into one of them and there would be two shuffles.)"""
     nx, ny, px, py = _n("x"), _n("y"), _pos("x"), _pos("y")
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
     lengths = (nx >= F.lit(t) * ny - 1e-9) & (ny >= F.lit(t) * nx - 1e-9)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    short = lambda n, p: p < _prefix(n, 2 * t / (1 + t))
-    shorter = ((nx <= ny) & short(nx, px)) | ((nx > ny) & short(ny, py))
-    # The first condition follows from the last; it is the cheapest and leaves few pairs for the others.
-    return (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (F.least(nx - px, (ny - py) * F.col("y.at").bitwiseAND(F.lit(1))) >= need) & shorter & (nx + ny - apart >= 2 * need)
+    within = lambda n, p: p < _prefix(n, 2 * t / (1 + t))
+    short = ((nx <= ny) & within(nx, px)) | ((nx > ny) & within(ny, py))
+    earlier = F.col("x.at") < F.col("y.at") * F.col("y.at").bitwiseAND(F.lit(1))
+    # The second condition follows from the last; it is the cheapest and leaves few pairs for the others.
+    return earlier & (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (F.least(nx - px, ny - py) >= need) & short & (nx + ny - apart >= 2 * need)
 
 
 def entries(firsts: DataFrame, t: float) -> DataFrame:
@@ -143,22 +144,34 @@ def entries(firsts: DataFrame, t: float) -> DataFrame:
 
 
 def similar_pairs(firsts: DataFrame, t: float) -> DataFrame:
-    """Pairs (lx, ly, apart: differing bits), lx before ly, that share a prefix token and pass the filters, ly being open. Both sides are the same rows in the same
-    columns, so one shuffle serves both; tokens of more than SPLIT entries are salted besides."""
+    """Pairs (lx, ly, apart: differing bits), lx before ly, that share a prefix token and pass the filters, ly being open. Both sides are the
+    same rows in the same columns, so one shuffle serves both; tokens of more than SPLIT entries are salted besides."""
     each = entries(firsts, t)
-    both = (F.col("x.token") == F.col("y.token")) & (F.col("x.at") < F.col("y.at")) & _close(t)
+    both = (F.col("x.token") == F.col("y.token")) & _close(t)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
     ids = [_lid("x").alias("lx"), _lid("y").alias("ly"), apart]
     marked = each.where(F.col("token").bitwiseAND(F.lit(_MARKED)) != 0)
     crowded = checkpointed(marked.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("token", F.ceil(F.col("c") / SPLIT).cast("int").alias("salts")))
     if crowded.isEmpty():
-        return each.alias("x").join(each.alias("y"), both).select(ids)
+        return each.alias("x").join(each.alias("y"), both).select(ids).distinct()
     table_ = small(crowded, SETTLED_ROWS)  # entries / SPLIT rows at most
     rest = each.join(table_, "token", "left_anti")
     dealt = each.join(table_, "token")
     x = dealt.withColumn("salt", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int")).alias("x")
     y = dealt.where(F.col("at").bitwiseAND(F.lit(1)) == 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    return rest.alias("x").join(rest.alias("y"), both).select(ids).unionByName(x.join(y, both & (F.col("x.salt") == F.col("y.salt"))).select(ids))
+    return rest.alias("x").join(rest.alias("y"), both).select(ids).unionByName(x.join(y, both & (F.col("x.salt") == F.col("y.salt"))).select(ids)).distinct()
+
+
+def enough_in_common(pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
+    """pairs(lx, ly, ...) whose prefixes have as many tokens in common as those of similar lines have at least: what is common after the prefix
+    that ends first is no more than what that line has left. It leaves out nearly all pairs of long lines, whose bitmaps say little."""
+    own = firsts.select("lid", "n", F.filter("prefix", lambda x: x.isNotNull()).alias("p"))
+    side = lambda s: own.select(F.col("lid").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"))
+    both = pairs.join(side("x"), "lx").join(side("y"), "ly")
+    nx, ny = F.col("nx"), F.col("ny")
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    enough = F.size(F.array_intersect("px", "py")) >= need - F.greatest(nx - _prefix(nx, t), ny - _prefix(ny, t))
+    return both.where(enough).select(*pairs.columns)
 
 
 def thinning_pairs(firsts: DataFrame, t: float) -> DataFrame | None:
@@ -227,7 +240,9 @@ def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
         found.append(verified(thin, firsts, docs, t))
         released(spark)
         marked = firsts.join(small(found[0].withColumn("hit", F.lit(True)), SETTLED_ROWS), "lid", "left").withColumn("open", F.col("hit").isNull())
-    pairs = checkpointed(similar_pairs(marked, t).distinct())
+    pairs = checkpointed(similar_pairs(marked, t))
+    released(spark)
+    pairs = checkpointed(enough_in_common(pairs, firsts, t))
     released(spark)
     # Most lines are settled by the pair that differs least; the others' pairs are verified, all of them, after that.
     best = pairs.groupBy("ly").agg(F.min(F.struct("apart", "lx")).alias("b")).select("b.lx", "ly")
