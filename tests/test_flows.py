@@ -436,3 +436,29 @@ def test_scalars(spark):
     assert [tuple(r) for r in text.backoff(spark).collect()] == [(1, 64, 1.0), (2, 32, 0.75), (3, 16, 0.5625), (4, 8, 0.421875)]
     t = [r[0] for r in spark.range(50).select(text.typing_seconds(F.lit("a b c d"), F.lit(60.0), F.col("id"))).collect()]
     assert all(3.2 <= x < 4.8 for x in t) and len(set(t)) > 40
+
+
+def same_as_sql(spark, name, folder, **tables):
+    """Whether a query's rows on tables(rows, schema) are those of its SQL."""
+    import duckdb
+
+    import __spark_entry__
+
+    with duckdb.connect() as c:
+        for t, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{t}.parquet")
+            c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+        df = __spark_entry__.queries()[name](spark, str(folder))
+        found = c.execute(__spark_entry__.oracle_sql()[name])
+        names = [d[0] for d in found.description]
+        want = sorted(repr(dict(sorted(zip(names, r)))) for r in found.fetchall())
+    return sorted(repr(dict(sorted(r.asDict().items()))) for r in df.collect()) == want
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string"
+
+
+def test_conversation_csvs_of_long_and_empty_texts(spark, tmp_path):
+    odd = ["x" * 300_000, 'a "quoted", text\n' * 20_000, '"' * 50_000, "\n" * 50_000, "\r\n, ", None, ""]
+    rows = [(c, t, ("user", "assistant")[t % 2], text) for c, texts in enumerate([odd, [None, ""], odd[:1]]) for t, text in enumerate(texts)]
+    assert same_as_sql(spark, "conversation_csvs", tmp_path, conversations=(rows, CONVERSATIONS))

@@ -118,10 +118,10 @@ def conversation_csvs(spark, sf):
     """The CSV of every conversation, read back: its messages and the longest one."""
     made = sinks.conversation_csvs(interactions.message_rows(interactions.conversations(checkpoints(spark, sf))))
     fields = F.from_csv("line", F.lit("type STRING, content STRING, simulated_timestamp STRING, elapsed_time DOUBLE"), {"escape": '"', "multiLine": "true"})
-    # A record ends where its line does and no quote is open.
-    whole = F.regexp_extract_all(F.concat(F.col("body")), F.lit('(?s)((?:[^"\\n]|"(?:[^"]|"")*")+)\\n'), F.lit(1))
+    # A record ends where its line does and no quote is open. Possessive, as the engine goes a call deeper for each repetition it may take back.
+    whole = F.regexp_extract_all("body", F.lit('((?:[^"\\n]++|"[^"]*+")++)\\n'), F.lit(1))
     each = made.select("filename", F.explode(F.slice(whole, F.lit(2), F.size(whole))).alias("line"))
-    return each.groupBy("filename").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length(fields["content"])).alias("longest"))
+    return each.groupBy("filename").agg(F.count(F.lit(1)).alias("lines"), F.max(F.length(F.coalesce(fields["content"], F.lit("")))).alias("longest"))
 
 
 # ---- RAG logs -------------------------------------------------------------------------------------------------------
