@@ -3,6 +3,7 @@
 import datetime
 import json
 import random
+import re
 import sqlite3
 import zipfile
 from collections import OrderedDict
@@ -462,3 +463,22 @@ def test_conversation_csvs_of_long_and_empty_texts(spark, tmp_path):
     odd = ["x" * 300_000, 'a "quoted", text\n' * 20_000, '"' * 50_000, "\n" * 50_000, "\r\n, ", None, ""]
     rows = [(c, t, ("user", "assistant")[t % 2], text) for c, texts in enumerate([odd, [None, ""], odd[:1]]) for t, text in enumerate(texts)]
     assert same_as_sql(spark, "conversation_csvs", tmp_path, conversations=(rows, CONVERSATIONS))
+
+
+def test_nearest_logs_against_all_pairs(spark):
+    rng = random.Random(3)
+    times = [(i, rng.randrange(-400, 2000)) for i in range(600)] + [(600, 10**6)]
+    logs = [(rng.randrange(0, 1600, 7), f"l{i}") for i in rng.sample(range(1000), 120)]
+    got = {r["id"]: tuple(r["best"]) if r["best"] else None for r in interactions.nearest_logs(spark.createDataFrame(times, "id long, t long"), spark.createDataFrame(logs, "lt long, log_id string"), 50).collect()}
+    assert got == {i: min(((abs(t - lt), x) for lt, x in logs if abs(t - lt) < 50), default=None) for i, t in times}
+
+
+def test_log_cascade_of_dense_times(spark, tmp_path):
+    """Times at which everything is near everything; repeated conversations are one mapping each."""
+    rng = random.Random(4)
+    at = lambda: datetime.datetime(2026, 1, 1, 0, 0, rng.randrange(60))
+    rows = [(i, rng.choice([2, 5, 8, 3 * i]), rng.choice(["purchase", "error"]), at()) for i in range(6000)]
+    rows += rows[:50]
+    assert same_as_sql(spark, "log_cascade_full", tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz"))
+    empty = [spark.createDataFrame([], s) for s in ("thread_id string, persona_id string, ts timestamp_ntz", "log_id string, log_thread string, persona_id string, at timestamp_ntz")]
+    assert not re.search(r"Join[^\n]*\bbin\b", interactions.log_of(*empty)._jdf.queryExecution().executedPlan().toString())

@@ -167,27 +167,44 @@ def log_names(files: DataFrame, path: str = "path") -> DataFrame:
     return files.withColumn("persona_id", F.when(fit, persona)).withColumn("log_thread", F.when(fit, F.get(parts, F.size(parts) - 3))).withColumn("at", F.when(fit, at))
 
 
+def nearest_logs(times: DataFrame, logs: DataFrame, width: int) -> DataFrame:
+    """times(t, ...) with best (d, log_id) of the nearest of logs(lt, log_id) less than `width` away, ties to the least log_id; null without one.
+
+    Nearest are the last log until t and the first one from t on. Both are in the time's bin of `width`, or are the last log of the bin before
+    or the first one of the bin after, so each row goes through its own bin once and no pairs are made, however dense the times are."""
+    at = lambda c: F.floor(F.col(c) / width)
+    own = logs.groupBy("lt").agg(F.min("log_id").alias("log_id")).select(at("lt").alias("bin"), F.struct("lt", "log_id").alias("l"))
+    ends = own.groupBy("bin").agg(F.min("l").alias("first"), F.max("l").alias("last"))
+    ends = ends.select(F.explode(F.array(*[F.struct((F.col("bin") + d).alias("bin"), F.col(c).alias("l")) for d, c in ((-1, "first"), (1, "last"))])).alias("e")).select("e.*")
+    marks = own.unionByName(ends).withColumn("t", F.col("l.lt"))
+    rows = times.withColumn("bin", at("t")).withColumn("wanted", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    until = lambda *by: Window.partitionBy("bin").orderBy(*by).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("before", F.max("l").over(until("t"))).withColumn("after", F.min("l").over(until(F.desc("t")))).where("wanted")
+    near = lambda c: F.struct(F.abs(F.col("t") - F.col(f"{c}.lt")).alias("d"), F.col(f"{c}.log_id").alias("log_id"))
+    best = F.array_min(F.filter(F.array(near("before"), near("after")), lambda x: x["d"] < width))
+    return rows.withColumn("best", best).select(*times.columns, "best")
+
+
 def log_of(conv: DataFrame, logs: DataFrame, mapping: DataFrame | None = None, minutes: int = 30) -> DataFrame:
     """thread_id, log_id, via: each conversation's log by its (mapped) thread, else the newest of its persona, else the nearest within `minutes`.
 
-    conv(thread_id, persona_id, ts timestamp_ntz), logs(log_id, log_thread, persona_id, at). Nearness is an equi-join on bins of `minutes` and
-    their neighbours, so no pair further apart is made; ties go to the least log_id.
+    conv(thread_id, persona_id, ts timestamp_ntz), logs(log_id, log_thread, persona_id, at); ties go to the least log_id.
     """
     if mapping is not None:
-        conv = conv.join(mapping.select("thread_id", "mapped"), "thread_id", "left").withColumn("key", F.coalesce("mapped", "thread_id"))
+        conv = conv.join(mapping.groupBy("thread_id").agg(F.max("mapped").alias("mapped")), "thread_id", "left").withColumn("key", F.coalesce("mapped", "thread_id"))
     else:
         conv = conv.withColumn("key", F.col("thread_id"))
     newest = lambda *by: logs.groupBy(*by).agg(F.max(F.struct("at", "log_id"))["log_id"].alias("l"))
     exact = newest("log_thread").select(F.col("log_thread").alias("key"), F.col("l").alias("by_thread"))
-    persona = newest("persona_id").withColumnRenamed("l", "by_persona")
+    # Conversations without a persona match nothing there; they are dealt out, as one key would take them all to one task.
+    persona = newest("persona_id").where("persona_id IS NOT NULL").select("persona_id", F.lit(0).alias("salt"), F.col("l").alias("by_persona"))
+    salt = F.when(F.col("persona_id").isNull(), F.pmod(F.hash("thread_id"), F.lit(1 << 16))).otherwise(0)
     width = minutes * 60_000_000
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    c = conv.join(exact, "key", "left").join(persona, "persona_id", "left")
+    c = conv.join(exact, "key", "left").withColumn("salt", salt).join(persona, ["persona_id", "salt"], "left")
     left = c.where("by_thread IS NULL AND by_persona IS NULL AND ts IS NOT NULL").select("thread_id", micros("ts").alias("t"))
-    left = left.withColumn("bin", F.explode(F.array(*[F.floor(F.col("t") / width) + d for d in (-1, 0, 1)])))
-    near = logs.where("at IS NOT NULL").select("log_id", micros("at").alias("lt")).withColumn("bin", F.floor(F.col("lt") / width))
-    found = left.join(near, "bin").withColumn("d", F.abs(F.col("t") - F.col("lt"))).where(F.col("d") < width)
-    found = found.groupBy("thread_id").agg(F.min(F.struct("d", "log_id"))["log_id"].alias("by_time"))
+    near = logs.where("at IS NOT NULL").select("log_id", micros("at").alias("lt"))
+    found = nearest_logs(left, near, width).where("best IS NOT NULL").groupBy("thread_id").agg(F.min("best")["log_id"].alias("by_time"))
     via = F.when(F.col("by_thread").isNotNull(), "thread").when(F.col("by_persona").isNotNull(), "persona").when(F.col("by_time").isNotNull(), "time").otherwise("none")
     return c.join(found, "thread_id", "left").select("thread_id", F.coalesce("by_thread", "by_persona", "by_time").alias("log_id"), via.alias("via"))
 
