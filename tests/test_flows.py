@@ -482,3 +482,33 @@ def test_log_cascade_of_dense_times(spark, tmp_path):
     assert same_as_sql(spark, "log_cascade_full", tmp_path, events=(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz"))
     empty = [spark.createDataFrame([], s) for s in ("thread_id string, persona_id string, ts timestamp_ntz", "log_id string, log_thread string, persona_id string, at timestamp_ntz")]
     assert not re.search(r"Join[^\n]*\bbin\b", interactions.log_of(*empty)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_zips_of_bounded_size(spark, tmp_path):
+    bodies = {f"c{i}.json": json.dumps({"thread_id": f"t{i}", "messages": ["ação 日本\r\n" * (i * 7 % 40)] * i}, ensure_ascii=False) for i in range(60)}
+    made = spark.createDataFrame([(n[1:-5], n, b) for n, b in bodies.items()], "thread_id string, filename string, body string").repartition(3)
+    sinks.write_zips(made, str(tmp_path / "z"), limit=5000)
+    archives = list((tmp_path / "z").glob("part-*"))
+    assert len(archives) > 10
+    found = {}
+    for f in archives:
+        with zipfile.ZipFile(f) as z:
+            assert z.testzip() is None
+            index = json.loads(z.read("index.json"))
+            own = {n: z.read(n).decode() for n in z.namelist() if n != "index.json"}
+            assert {c["filename"] for c in index["conversations"]} == set(own) and index["total_conversations"] == len(own)
+            assert sum(len(b.encode()) for b in list(own.values())[:-1]) < 5000
+            found |= own
+    assert found == bodies
+    read = files.read_zipped_json(spark, str(tmp_path / "z")).collect()
+    assert {r["member"]: json.loads(r["body"]) for r in read} == {n: json.loads(b) for n, b in bodies.items()}
+    with pytest.raises(Exception, match="(?i)exists"):
+        sinks.write_zips(made, str(tmp_path / "z"))
+    sinks.write_zips(made.limit(0), str(tmp_path / "e"))
+    assert files.read_zipped_json(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_zip_source_of_many_and_no_conversations(spark, tmp_path):
+    rows = [(c, t, ("user", "assistant")[t % 2], "x, " * (c * 997 % 3000)) for c in range(300) for t in range(3)]
+    assert same_as_sql(spark, "zip_source", tmp_path / "a", conversations=(rows, CONVERSATIONS))
+    assert same_as_sql(spark, "zip_source", tmp_path / "b", conversations=(rows[:0], CONVERSATIONS))

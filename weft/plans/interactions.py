@@ -261,8 +261,8 @@ def zip_source(spark, sf):
     path = _place(spark, "zip")
     c = checkpoints(spark, sf)
     made = interactions.exported(interactions.conversations(c), instances(spark, sf).limit(0), c, None, "2026-01-01T00:00:00")
-    sinks.write_zip(made, f"{path}/a.zip", made.select("thread_id", "filename"))
-    body = files.read_zipped_json(spark, f"{path}/a.zip").select(F.from_json("body", "struct<thread_id:string,messages:array<struct<index:int>>>").alias("d"))
+    sinks.write_zips(made, path)
+    body = files.read_zipped_json(spark, path).select(F.from_json("body", "struct<thread_id:string,messages:array<struct<index:int>>>").alias("d"))
     return body.select("d.thread_id", F.size("d.messages").cast("long").alias("messages"))
 
 

@@ -50,22 +50,37 @@ def read_scenarios(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return good, lines.where((F.size("parts") != 2) & ~header).select("value")
 
 
-def read_zipped_json(spark: SparkSession, path: str, member: str = r".*\.json") -> DataFrame:
-    """file, member, body (JSON text) of the dialogues in ZIP files; lists are flattened, objects without messages left out."""
+#: Bytes of dialogues from which a batch of read_zipped_json is passed on.
+BATCH_BYTES = 8 << 20
 
-    def run(batches):
-        import re
 
+def read_zipped_json(spark: SparkSession, path: str, member: str = r".*\.json") -> DataFrame:
+    """file, member, body (JSON text) of the dialogues in ZIP files; lists are flattened, objects without messages left out. An archive is read
+    as a whole, by one task; of what is in it a task holds one member and BATCH_BYTES of dialogues."""
+
+    def dialogues(batches):
         for batch in batches:
-            rows = []
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for i in range(batch.num_rows):
+                file = batch.column(0)[i].as_py()
+                with zipfile.ZipFile(pa.BufferReader(batch.column(1)[i].as_buffer())) as z:
                     for name in sorted(z.namelist()):
                         if re.fullmatch(member, name):
                             data = json.loads(z.read(name))
-                            rows += [(file, name, json.dumps(d, ensure_ascii=False)) for d in (data if isinstance(data, list) else [data]) if isinstance(d, dict) and "messages" in d]
-            cols = list(zip(*rows)) if rows else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["file", "member", "body"])
+                            for d in data if isinstance(data, list) else [data]:
+                                if isinstance(d, dict) and "messages" in d:
+                                    yield file, name, json.dumps(d, ensure_ascii=False)
+
+    def run(batches):
+        rows, size = [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], ["file", "member", "body"])
+        for row in dialogues(batches):
+            rows.append(row)
+            size += len(row[2])
+            if size >= BATCH_BYTES:
+                yield made()
+                rows, size = [], 0
+        if rows:
+            yield made()
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, member string, body string")
 

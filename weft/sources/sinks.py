@@ -9,6 +9,7 @@ import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +87,49 @@ def write_zip(files: DataFrame, path: str, index: DataFrame | None = None, overw
     return n
 
 
+#: Bytes of members, before compression, from which an archive of write_zips is closed, and what its tasks are dealt.
+ARCHIVE_BYTES = 16 << 20
+
+
+def _archives(limit: int):
+    """mapInArrow over (thread_id, filename, body): content, a ZIP for every `limit` bytes of members, with an index of them."""
+
+    def run(batches):
+        buffer = z = None
+        names, size = [], 0
+
+        def closed():
+            z.writestr("index.json", json.dumps({"conversations": names, "total_conversations": len(names)}, ensure_ascii=False))
+            z.comment = b"\n"  # its last byte is the end of line that the text writer adds
+            z.close()
+            return pa.RecordBatch.from_arrays([pa.array([buffer.getvalue()[:-1]], pa.binary())], ["content"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                thread, name, body = (c[i].as_py() for c in batch.columns)
+                if z is None:
+                    buffer, names, size = io.BytesIO(), [], 0
+                    z = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED)
+                body = body.encode()
+                z.writestr(name, body)
+                names.append({"thread_id": thread, "filename": name})
+                size += len(body)
+                if size >= limit:
+                    yield closed()
+                    z = None
+        if z is not None:
+            yield closed()
+
+    return run
+
+
+def write_zips(files: DataFrame, path: str, overwrite: bool = False, limit: int | None = None) -> None:
+    """A folder of ZIPs of files(thread_id, filename, body), each of about `limit` bytes of members with an index.json of its own. Tasks build and
+    write them, each in a file of its own, so nothing passes through the driver and no task holds more than one. A folder without files: no archive."""
+    made = files.select("thread_id", "filename", "body").mapInArrow(_archives(limit or ARCHIVE_BYTES), "content binary")
+    made.select(F.col("content").cast("string").alias("value")).write.mode(_mode(overwrite)).option("maxRecordsPerFile", 1).text(path)
+
+
 def conversation_csvs(rows: DataFrame) -> DataFrame:
     """filename, body: a CSV for each conversation of interactions.message_rows. A conversation is one document, so one row."""
     field = lambda c: F.when(F.col(c).cast("string").rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(F.col(c).cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.coalesce(F.col(c).cast("string"), F.lit("")))
