@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-from weft.llm.line_dedup import dedup_lines
+from weft.llm.line_dedup import dedup_lines, lines_of, rarity_sketch
 
 
 def brute(rows, t=0.8):
@@ -65,6 +65,24 @@ def test_empty_and_repeated_rows(spark):
     assert dedup_lines(df.limit(0), rarity_bits=8).collect() == []
 
 
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([(1, "A b\n\nc")], "doc_id long, text string")
+    lines = lines_of(df, plain=True).where("trim(line) <> ''")
+    assert [(r["line_no"], r["line"]) for r in lines.collect()] == [(0, "a b"), (2, "c")]
+    plan = lines._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum(x.count("split(") for x in plan) == 1
+    assert not any("lower" in x for x in plan if "Generate" in x)
+
+
+def test_sketch_levels_and_marks(spark):
+    times = {"once": 1, "thrice": 3, "often": 20}
+    df = spark.createDataFrame([(i, f" {w.upper()}\n") for w, n in times.items() for i in range(n)], "doc_id long, text string")
+    sketch = rarity_sketch(df, 12).first()["c"]
+    hashes = spark.createDataFrame([(w,) for w in times], "w string").selectExpr("w", "xxhash64(w) h").collect()
+    level = {r["w"]: ((sketch[(r["h"] % (1 << 64)) >> 52] ^ r["h"]) % (1 << 64)) >> 56 for r in hashes}
+    assert level == {"once": 1, "thrice": 3, "often": 32}
+
+
 def test_native():
     source = Path(dedup_lines.__code__.co_filename).read_text()
     assert not any(x in source for x in ("udf", "mapIn", "applyIn", ".rdd", "toPandas", "import numpy"))

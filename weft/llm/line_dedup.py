@@ -9,7 +9,7 @@ whole token sets. A token whose counter is one is in no other line and is left o
 
 A line is removed if an earlier one (by doc_id, then line number) is equal as a set or similar; the earlier one need not
 stay itself. Equal sets are settled by one aggregate, and the distinct sets numbered in the order of their first lines. Crowds of
-variants of one line are thinned before the join: lines of equal size that share the least or the greatest token of their prefixes are
+variants of one line are thinned before the join: lines of equal size that share the least or the greatest frequent token of their prefixes are
 compared with a few representatives only, and what that removes joins no further as the later line. So a crowd costs its size times the
 lines left in it that resemble none of these; all other lines go through the whole join. Tokens of more than SPLIT entries are dealt
 over salted keys.
@@ -36,9 +36,11 @@ CROWD, REPRESENTATIVES = 16, 8
 FILTER_BITS = 25
 #: Tables of a line number (or as narrow) a row are broadcast up to this number of rows, some 40 MB, else joined by a shuffle.
 SETTLED_ROWS = 1_000_000
-_HASH = (1 << 56) - 1
-#: In a token's counter, and in an entry's token, the mark of one that occurs SPLIT times or more: only these can have that many entries.
-_MARK, _MARKED = 1 << 6, 1 << 30
+#: And tables of places of lines, up to this number.
+PLACES = SETTLED_ROWS // 4
+#: In a token's level, and in an entry's token, the marks of one that occurs SPLIT or CROWD times or more: only these can have that many entries or lines.
+_SPLIT, _CROWD = 1 << 6, 1 << 5
+_SPLIT_TOKEN, _CROWD_TOKEN = _SPLIT << 24, _CROWD << 24
 _PLACE = ("doc_id", "line_no", "th")
 
 
@@ -50,23 +52,33 @@ def _hashes(line: Column) -> Column:
 def _plain(text: Column) -> Column:
     """Lower-cased; of white space only spaces and line ends remain. Splitting at a space is far quicker than at a pattern."""
     low = F.lower(text)
-    return F.when(low.rlike("[\\x09\\x0B-\\x0D]"), F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
+    other = low.contains("\t") | low.contains("\v") | low.contains("\f") | low.contains("\r")
+    return F.when(other, F.regexp_replace(low, "[\\x09\\x0B-\\x0D]", " ")).otherwise(low)
 
 
 def lines_of(docs: DataFrame, plain: bool = False) -> DataFrame:
     """doc_id, th (hash of the text), line_no, line (plain, if said so)."""
     text = text_or_empty()
-    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(_plain(text) if plain else text, "\n", -1).alias("lines"))
-    return split.select("doc_id", "th", F.posexplode("lines").alias("line_no", "line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), (_plain(text) if plain else text).alias("text"))
+    # The split stands in the generator: of a column of its own Spark would infer that it is not null and not empty, and split each text again for
+    # that. Nothing else does: in a generator Spark computes a common subexpression as often as it occurs.
+    return rows.select("doc_id", "th", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def rarity_sketch(docs: DataFrame, bits: int) -> DataFrame:
-    """One row, an array of 2^bits bytes: a counter's number of occurrences up to one, else 2 and more by half powers of two, with the mark of those from SPLIT on."""
-    word = docs.select(F.explode(F.split(F.replace(_plain(text_or_empty()), F.lit("\n"), F.lit(" ")), " ")).alias("w")).where("w <> ''")
-    counted = word.select(F.xxhash64("w").bitwiseAND(F.lit((1 << bits) - 1)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    """One row, an array of 2^bits longs, by the first bits (8 or more) of a token's hash: in the first byte that of such hashes xor the counter's level, which is
+    its number of occurrences up to one, else 2 and more by half powers of two, with the marks of those from CROWD and SPLIT on; zeros behind. So a hash xor
+    its entry has the level in the place of its first byte, in the fewest steps for a lambda."""
+    if bits < 8:
+        raise ValueError("a sketch has 8 bits at least")
+    plain = docs.select(F.replace(_plain(text_or_empty()), F.lit("\n"), F.lit(" ")).alias("plain"))
+    word = plain.select(F.explode(F.split("plain", " ")).alias("w")).where("w <> ''")
+    counted = word.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     zero = docs.sparkSession.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    level = F.when(F.col("n") < 2, F.col("n")).otherwise(F.least(F.lit(55), F.floor(F.log2("n") * 2).cast("long")) + F.when(F.col("n") >= SPLIT, _MARK).otherwise(0))
-    per = counted.unionByName(zero).groupBy("b").agg(F.sum("n").alias("n")).select("b", level.cast("byte").alias("c"))
+    halves = lambda least: F.greatest(F.lit(0).cast("long"), F.floor(F.log2(F.col("n") / least) * 2).cast("long"))
+    from_split = _SPLIT + _CROWD + F.least(F.lit(31).cast("long"), halves(SPLIT))
+    level = F.when(F.col("n") < 2, F.col("n")).when(F.col("n") < CROWD, 2 + halves(2)).when(F.col("n") < SPLIT, _CROWD + halves(CROWD)).otherwise(from_split)
+    per = counted.unionByName(zero).groupBy("b").agg(F.sum("n").alias("n")).select("b", F.coalesce(F.shiftleft(F.shiftright("b", bits - 8).bitwiseXOR(level.cast("long")), 56), F.lit(0).cast("long")).alias("c"))
     piece = min(10, bits)
     in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
     pieces = per.groupBy(F.shiftright("b", piece).alias("p")).agg(in_order("b", "c").alias("c"))
@@ -87,10 +99,11 @@ def signed_lines(docs: DataFrame, sketch: DataFrame, bits: int, t: float) -> Dat
     """doc_id, th, line_no, k1, k2 (the set's identity), n, parity, prefix (rarest first; null: in no other line); lines with words only."""
     # A subquery may not stand in a lambda, but as a column that is used once it is folded into the lambda's projection.
     lines = lines_of(docs, plain=True).where(F.trim("line") != "").withColumn("sketch", sketch.scalar())
-    level = lambda h: F.get(F.col("sketch"), h.bitwiseAND(F.lit((1 << bits) - 1)).cast("int")).cast("long")
-    keyed = F.sort_array(F.transform(_hashes(F.col("line")), lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(F.lit(_HASH)))))
+    # Without nulls, as far as Spark can know, or the array would be sorted as objects.
+    leveled = lambda h: F.coalesce(F.col("sketch")[F.shiftrightunsigned(h, 64 - bits)].bitwiseXOR(h), F.lit(0).cast("long"))
+    keyed = F.sort_array(F.transform(_hashes(F.col("line")), leveled))
     parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    token = lambda x: F.shiftright(x, 32).bitwiseAND(F.lit(_MARKED)).bitwiseOR(x.bitwiseAND(F.lit(_MARKED - 1))).cast("int")
+    token = lambda x: F.shiftright(x, 32).bitwiseAND(F.lit(_SPLIT_TOKEN | _CROWD_TOKEN)).bitwiseOR(x.bitwiseAND(F.lit(_CROWD_TOKEN - 1))).cast("int")
     short = F.transform(F.slice("ids", F.lit(1), F.when(_joins(t), _prefix(F.col("n"), t)).otherwise(0)), lambda x: F.when(F.shiftright(x, 56) != 1, token(x)))
     return (
         lines.select("doc_id", "th", "line_no", keyed.alias("ids"))
@@ -150,7 +163,7 @@ def similar_pairs(firsts: DataFrame, t: float) -> DataFrame:
     both = (F.col("x.token") == F.col("y.token")) & _close(t)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
     ids = [_lid("x").alias("lx"), _lid("y").alias("ly"), apart]
-    marked = each.where(F.col("token").bitwiseAND(F.lit(_MARKED)) != 0)
+    marked = each.where(F.col("token").bitwiseAND(F.lit(_SPLIT_TOKEN)) != 0)
     crowded = checkpointed(marked.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("token", F.ceil(F.col("c") / SPLIT).cast("int").alias("salts")))
     if crowded.isEmpty():
         return each.alias("x").join(each.alias("y"), both).select(ids).distinct()
@@ -176,9 +189,14 @@ def enough_in_common(pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame
 
 def thinning_pairs(firsts: DataFrame, t: float) -> DataFrame | None:
     """Pairs (lx, ly) of equal size: each line of a crowd with the first line of each of REPRESENTATIVES hash classes of its crowds; None if
-    there are none. A crowd is a (token, size) group, the token being the least or the greatest of the prefix. Counts and first lines come
+    there are none. A crowd is a (token, size) group, the token being the least or the greatest of those of the prefix that occur CROWD
+    times or more. Counts and first lines come
     from partial aggregates, so no task holds a crowd."""
-    lines = firsts.where(_joins(t)).select("lid", "n", "parity", F.explode(F.array_distinct(F.array(F.array_min("prefix"), F.array_max("prefix")))).alias("token")).where(F.col("token").isNotNull())
+    # Most tokens have no mark and so are in fewer than CROWD lines; counting those would cost more than all the rest here.
+    often = firsts.where(_joins(t)).select("lid", "n", "parity", F.filter("prefix", lambda x: x.bitwiseAND(F.lit(_CROWD_TOKEN)) != 0).alias("often")).where(F.size("often") > 0)
+    ends = often.select("lid", "n", "parity", F.array_min("often").alias("least"), F.array_max("often").alias("greatest"))
+    each = F.explode(F.when(F.col("least") == F.col("greatest"), F.array("least")).otherwise(F.array("least", "greatest"))).alias("token")
+    lines = ends.select("lid", "n", "parity", each)
     crowds = checkpointed(lines.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= CROWD).select("token", "n"))
     if crowds.isEmpty():
         return None
@@ -217,12 +235,16 @@ def maybe_in(rows: DataFrame, some: DataFrame, *on: str) -> DataFrame:
 def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """lid of the later lines of those pairs (lx before ly) that are similar on their whole token sets."""
     pairs = checkpointed(pairs.distinct())
-    wanted = pairs.select(F.col("lx").alias("lid")).unionByName(pairs.select(F.col("ly").alias("lid"))).distinct()
-    places = checkpointed(firsts.select("lid", *_PLACE).join(wanted, "lid", "left_semi"))
-    # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
+    wanted = checkpointed(pairs.select(F.col("lx").alias("lid")).unionByName(pairs.select(F.col("ly").alias("lid"))).distinct())
+    places = checkpointed(firsts.select("lid", *_PLACE).join(small(wanted, SETTLED_ROWS), "lid", "left_semi"))
     released(docs.sparkSession)
-    rows = maybe_in(lines_of(docs), places, "line_no", "th").alias("l")
-    at = rows.join(places.alias("p"), F.col("l.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("l.line_no") == F.col("p.line_no")) & (F.col("l.th") == F.col("p.th")))
+    rows = lines_of(docs)
+    if places.count() <= PLACES:
+        places = F.broadcast(places)
+    else:
+        # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
+        rows = maybe_in(rows, places, "line_no", "th")
+    at = rows.alias("l").join(places.alias("p"), F.col("l.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("l.line_no") == F.col("p.line_no")) & (F.col("l.th") == F.col("p.th")))
     sets = at.select("p.lid", F.sort_array(_hashes(_plain(F.col("line")))).alias("set")).dropDuplicates(["lid"])
     both = pairs.join(sets.select(F.col("lid").alias("lx"), F.col("set").alias("sx")), "lx").join(sets.select(F.col("lid").alias("ly"), F.col("set").alias("sy")), "ly")
     common = F.size(F.array_intersect("sx", "sy"))
@@ -275,13 +297,15 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), similarity: float =
     """doc_id, text (without the removed lines), n_lines, removed for every row of docs(doc_id, text, ...), with its columns `keep` besides."""
     gone = removed_lines(docs, similarity, rarity_bits)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), F.xxhash64(text_or_empty()).alias("th"), *keep)
-    lines = F.split(F.coalesce("_text", F.lit("")), "\n", -1)
+    text = text_or_empty("_text")
+    lines = F.split(text, "\n", -1)
     if not with_text:
-        own = own.select("doc_id", "th", F.size(lines).alias("n_lines"), *keep)
+        ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+        own = own.select("doc_id", "th", (ends + 1).alias("n_lines"), *keep)
     joined = own.alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.th") == F.col("g.th")), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     if not with_text:
         return joined.select("d.doc_id", "n_lines", removed.alias("removed"), *[f"d.{k}" for k in keep])
     kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("removed", i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept)
-    return joined.select("d.doc_id", text.alias("text"), F.size(lines).alias("n_lines"), removed.alias("removed"), *[f"d.{k}" for k in keep])
+    left = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(kept)
+    return joined.select("d.doc_id", left.alias("text"), F.size(lines).alias("n_lines"), removed.alias("removed"), *[f"d.{k}" for k in keep])
