@@ -3,7 +3,9 @@ from pathlib import Path
 
 import pytest
 
-from weft.llm.line_dedup import dedup_lines, lines_of, rarity_sketch
+from pyspark.sql import functions as F
+
+from weft.llm.line_dedup import dedup_lines, distinct_lines, lines_of, rarity_sketch, signed_lines, similar_pairs
 
 
 def brute(rows, t=0.8):
@@ -83,6 +85,16 @@ def test_sketch_levels_and_marks(spark):
     assert level == {"once": 1, "thrice": 3, "often": 32}
 
 
+def test_pairs_have_enough_in_common(spark):
+    words = {s: [f"{s}{i}" for i in range(299)] for s in "xy"}
+    lines = [" ".join(["shared", *words["x"]]), " ".join(["shared", *words["y"]]), " ".join(["shared", *words["x"][:280]])]
+    often = "\n".join(w for ws in words.values() for w in ws)  # of one word each, so similar to none, but then "shared" is the rarest
+    df = spark.createDataFrame([*enumerate(lines), *((10 + i, often) for i in range(6))], "doc_id long, text string")
+    firsts = distinct_lines(signed_lines(df, rarity_sketch(df, 18), 18, 0.8)).withColumn("open", F.lit(True))
+    place = {r["lid"]: r["doc_id"] for r in firsts.select("lid", "doc_id").collect()}
+    assert {(place[r["lx"]], place[r["ly"]]) for r in similar_pairs(firsts, 0.8).collect()} == {(0, 2)}
+
+
 def test_native():
     source = Path(dedup_lines.__code__.co_filename).read_text()
     assert not any(x in source for x in ("udf", "mapIn", "applyIn", ".rdd", "toPandas", "import numpy"))

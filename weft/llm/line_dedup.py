@@ -9,7 +9,7 @@ whole token sets. A token whose counter is one is in no other line and is left o
 
 A line is removed if an earlier one (by doc_id, then line number) is equal as a set or similar; the earlier one need not
 stay itself. Equal sets are settled by one aggregate, and the distinct sets numbered in the order of their first lines. Crowds of
-variants of one line are thinned before the join: lines of equal size that share the least or the greatest frequent token of their prefixes are
+variants of one line are thinned before the join: lines of equal size that share the first or the last frequent token of their prefixes are
 compared with a few representatives only, and what that removes joins no further as the later line. So a crowd costs its size times the
 lines left in it that resemble none of these; all other lines go through the whole join. Tokens of more than SPLIT entries are dealt
 over salted keys.
@@ -21,6 +21,8 @@ that of their hashes; an empty table gives an empty result. Other columns are ig
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,19 @@ PLACES = SETTLED_ROWS // 4
 #: In a token's level, and in an entry's token, the marks of one that occurs SPLIT or CROWD times or more: only these can have that many entries or lines.
 _SPLIT, _CROWD = 1 << 6, 1 << 5
 _SPLIT_TOKEN, _CROWD_TOKEN = _SPLIT << 24, _CROWD << 24
+#: Up to so many pairs a line, all are verified at once.
+FEW = 8
 _PLACE = ("doc_id", "line_no", "th")
+#: Counters of the rarity sketch that are counted as one row: 2 to the power of this.
+_ROW_BITS = 4
 
 
 def _hashes(line: Column) -> Column:
     """64-bit hashes of the distinct words of a line that is lower-cased and has no white space but the space."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    # Few lines have an empty word, and seeing whether one has is cheaper than looking through its hashes.
+    empty = line.contains("  ") | line.startswith(" ") | line.endswith(" ") | (line == "")
+    return F.when(empty, F.array_remove(hashes, F.xxhash64(F.lit("")))).otherwise(hashes)
 
 
 def _plain(text: Column) -> Column:
@@ -71,18 +80,27 @@ def rarity_sketch(docs: DataFrame, bits: int) -> DataFrame:
     its entry has the level in the place of its first byte, in the fewest steps for a lambda."""
     if bits < 8:
         raise ValueError("a sketch has 8 bits at least")
-    plain = docs.select(F.replace(_plain(text_or_empty()), F.lit("\n"), F.lit(" ")).alias("plain"))
-    word = plain.select(F.explode(F.split("plain", " ")).alias("w")).where("w <> ''")
-    counted = word.select(F.shiftrightunsigned(F.xxhash64("w"), 64 - bits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    zero = docs.sparkSession.range(1 << bits).select(F.col("id").alias("b"), F.lit(0).cast("long").alias("n"))
-    halves = lambda least: F.greatest(F.lit(0).cast("long"), F.floor(F.log2(F.col("n") / least) * 2).cast("long"))
-    from_split = _SPLIT + _CROWD + F.least(F.lit(31).cast("long"), halves(SPLIT))
-    level = F.when(F.col("n") < 2, F.col("n")).when(F.col("n") < CROWD, 2 + halves(2)).when(F.col("n") < SPLIT, _CROWD + halves(CROWD)).otherwise(from_split)
-    per = counted.unionByName(zero).groupBy("b").agg(F.sum("n").alias("n")).select("b", F.coalesce(F.shiftleft(F.shiftright("b", bits - 8).bitwiseXOR(level.cast("long")), 56), F.lit(0).cast("long")).alias("c"))
-    piece = min(10, bits)
-    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
-    pieces = per.groupBy(F.shiftright("b", piece).alias("p")).agg(in_order("b", "c").alias("c"))
-    return checkpointed(pieces.agg(F.flatten(in_order("p", "c")).alias("c")))
+    word = lines_of(docs, plain=True).select(F.explode(F.split("line", " ")).alias("w")).where("w <> ''")
+    # Sixteen counters are one row of the aggregate: so many fewer keys are kept and shuffled, which costs far more than counting.
+    b, cell = F.shiftrightunsigned(F.xxhash64("w"), 64 - bits), range(1 << _ROW_BITS)
+    at = word.select(b.alias("b")).select(F.shiftright("b", _ROW_BITS).alias("r"), F.col("b").bitwiseAND(F.lit(len(cell) - 1)).cast("int").alias("i"))
+    counted = at.groupBy("r").agg(*[F.count(F.when(F.col("i") == i, 1)).alias(f"n{i}") for i in cell])
+    zero = docs.sparkSession.range(1 << bits - _ROW_BITS).select(F.col("id").alias("r"), *[F.lit(0).cast("long").alias(f"n{i}") for i in cell])
+    per = counted.unionByName(zero).groupBy("r").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in cell])
+
+    def entry(i: int) -> Column:
+        n = F.col(f"n{i}")
+        halves = lambda least: F.greatest(F.lit(0).cast("long"), F.floor(F.log2(n / least) * 2).cast("long"))
+        from_split = _SPLIT + _CROWD + F.least(F.lit(31).cast("long"), halves(SPLIT))
+        level = F.when(n < 2, n).when(n < CROWD, 2 + halves(2)).when(n < SPLIT, _CROWD + halves(CROWD)).otherwise(from_split)
+        of = F.shiftleft("r", _ROW_BITS).bitwiseOR(F.lit(i).cast("long"))
+        return F.coalesce(F.shiftleft(F.shiftright(of, bits - 8).bitwiseXOR(level.cast("long")), 56), F.lit(0).cast("long"))
+
+    rows = per.select("r", F.array(*[entry(i) for i in cell]).alias("c"))
+    piece = min(8, bits - _ROW_BITS)
+    in_order = lambda key: F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(key, "c"))), lambda x: x["c"]))
+    pieces = rows.groupBy(F.shiftright("r", piece).alias("p")).agg(in_order("r").alias("c"))
+    return checkpointed(pieces.agg(in_order("p").alias("c")))
 
 
 def _prefix(n: Column, t: float) -> Column:
@@ -96,19 +114,18 @@ def _joins(t: float) -> Column:
 
 
 def signed_lines(docs: DataFrame, sketch: DataFrame, bits: int, t: float) -> DataFrame:
-    """doc_id, th, line_no, k1, k2 (the set's identity), n, parity, prefix (rarest first; null: in no other line); lines with words only."""
+    """doc_id, th, line_no, k1, k2 (the set's identity), n, parity, prefix (rarest first, levels in the first byte); lines with words only."""
     # A subquery may not stand in a lambda, but as a column that is used once it is folded into the lambda's projection.
     lines = lines_of(docs, plain=True).where(F.trim("line") != "").withColumn("sketch", sketch.scalar())
     # Without nulls, as far as Spark can know, or the array would be sorted as objects.
     leveled = lambda h: F.coalesce(F.col("sketch")[F.shiftrightunsigned(h, 64 - bits)].bitwiseXOR(h), F.lit(0).cast("long"))
     keyed = F.sort_array(F.transform(_hashes(F.col("line")), leveled))
     parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-    token = lambda x: F.shiftright(x, 32).bitwiseAND(F.lit(_SPLIT_TOKEN | _CROWD_TOKEN)).bitwiseOR(x.bitwiseAND(F.lit(_CROWD_TOKEN - 1))).cast("int")
-    short = F.transform(F.slice("ids", F.lit(1), F.when(_joins(t), _prefix(F.col("n"), t)).otherwise(0)), lambda x: F.when(F.shiftright(x, 56) != 1, token(x)))
+    prefix = F.slice("ids", F.lit(1), F.when(_joins(t), _prefix(F.col("n"), t)).otherwise(0))
     return (
         lines.select("doc_id", "th", "line_no", keyed.alias("ids"))
         .withColumn("n", F.size("ids"))
-        .select("doc_id", "th", "line_no", F.xxhash64("ids").alias("k1"), F.xxhash64(F.lit(1), "ids").alias("k2"), "n", parity.alias("parity"), short.alias("prefix"))
+        .select("doc_id", "th", "line_no", F.xxhash64("ids").alias("k1"), F.xxhash64(F.lit(1), "ids").alias("k2"), "n", parity.alias("parity"), prefix.alias("prefix"))
     )
 
 
@@ -120,6 +137,11 @@ def distinct_lines(signed: DataFrame) -> DataFrame:
     return table(ordered.select(F.monotonically_increasing_id().alias("lid"), "*"))
 
 
+def _token(x: str) -> Column:
+    """Of an element of a prefix, the marks and 29 bits of the hash; lines that share a token by chance are told apart later."""
+    return F.shiftright(x, 32).bitwiseAND(F.lit(_SPLIT_TOKEN | _CROWD_TOKEN)).bitwiseOR(F.col(x).bitwiseAND(F.lit(_CROWD_TOKEN - 1))).cast("int")
+
+
 def _lid(s: str) -> Column:
     return F.shiftright(f"{s}.at", 1)
 
@@ -133,69 +155,78 @@ def _pos(s: str) -> Column:
 
 
 def _close(t: float) -> Column:
-    """Length, positional and bitmap filters for entries x and y of one token, x being the earlier line: the shorter line's place is within the
-    prefix for equal sizes; nothing is near a settled line as the later one. (That stands within a comparison of both sides, or it would be
-    taken into one of them and there would be two shuffles.)"""
-    nx, ny, px, py = _n("x"), _n("y"), _pos("x"), _pos("y")
+    """Length and bitmap filters for entries x and y of one token, x being the earlier line; nothing is near a settled line as the later one.
+    (That stands within a comparison of both sides, or it would be taken into one of them and there would be two shuffles.)"""
+    nx, ny = _n("x"), _n("y")
     need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
     lengths = (nx >= F.lit(t) * ny - 1e-9) & (ny >= F.lit(t) * nx - 1e-9)
     apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
-    within = lambda n, p: p < _prefix(n, 2 * t / (1 + t))
-    short = ((nx <= ny) & within(nx, px)) | ((nx > ny) & within(ny, py))
     earlier = F.col("x.at") < F.col("y.at") * F.col("y.at").bitwiseAND(F.lit(1))
     # The second condition follows from the last; it is the cheapest and leaves few pairs for the others.
-    return earlier & (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (F.least(nx - px, ny - py) >= need) & short & (nx + ny - apart >= 2 * need)
+    return earlier & (apart <= (nx + ny) * ((1 - t) / (1 + t)) + 1e-6) & lengths & (nx + ny - apart >= 2 * need)
+
+
+def _first(t: float) -> Column:
+    """Whether a token of x and y may be the first that similar lines have in common: enough is left behind it, and for the shorter line it is within the
+    prefix for equal sizes."""
+    nx, ny, px, py = _n("x"), _n("y"), _pos("x"), _pos("y")
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    within = lambda n, p: p < _prefix(n, 2 * t / (1 + t))
+    return (F.least(nx - px, ny - py) >= need) & F.when(nx <= ny, within(nx, px)).otherwise(within(ny, py))
+
+
+def counted_pairs(joined: list[DataFrame], t: float) -> DataFrame:
+    """(lx, ly, apart: differing bits) of joined entries x and y whose prefixes have as many tokens in common as those of similar lines have at least:
+    what is common after the prefix that ends first is no more than what that line has left. It leaves out nearly all pairs of long lines,
+    whose bitmaps say little."""
+    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
+    # The sizes and apart are those of the pair, in every row of it.
+    facts = [F.count(F.lit(1)).alias("common"), F.max("first").alias("first"), F.max("nx").alias("nx"), F.max("ny").alias("ny"), F.max("apart").alias("apart")]
+    own = [_lid("x").alias("lx"), _lid("y").alias("ly"), _n("x").alias("nx"), _n("y").alias("ny"), apart.alias("apart"), _first(t).alias("first")]
+    each = reduce(DataFrame.unionByName, [j.select(own) for j in joined])
+    nx, ny = F.col("nx"), F.col("ny")
+    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
+    enough = F.col("common") >= need - F.greatest(nx - _prefix(nx, t), ny - _prefix(ny, t))
+    return each.groupBy("lx", "ly").agg(*facts).where(F.col("first") & enough).select("lx", "ly", "apart")
 
 
 def entries(firsts: DataFrame, t: float) -> DataFrame:
     """An entry for each prefix token, in few and narrow columns, as all of them are shuffled: token, at (lid, and whether an earlier
     similar line is still sought), size (n and position), parity. firsts has a column open."""
     wide = lambda c: F.col(c).cast("long")
-    each = firsts.where(_joins(t)).select("lid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "token")).where(F.col("token").isNotNull())
+    each = firsts.where(_joins(t)).select("lid", "n", "parity", "open", F.posexplode("prefix").alias("pos", "id")).where(F.shiftright("id", 56) != 1)
     at, size = F.shiftleft("lid", 1).bitwiseOR(wide("open")), F.shiftleft(wide("n"), 32).bitwiseOR(wide("pos"))
-    return each.select("token", at.alias("at"), size.alias("size"), "parity")
+    return each.select(_token("id").alias("token"), at.alias("at"), size.alias("size"), "parity")
 
 
 def similar_pairs(firsts: DataFrame, t: float) -> DataFrame:
-    """Pairs (lx, ly, apart: differing bits), lx before ly, that share a prefix token and pass the filters, ly being open. Both sides are the
+    """Pairs (lx, ly, apart: differing bits), lx before ly, that share prefix tokens and pass the filters, ly being open. Both sides are the
     same rows in the same columns, so one shuffle serves both; tokens of more than SPLIT entries are salted besides."""
     each = entries(firsts, t)
     both = (F.col("x.token") == F.col("y.token")) & _close(t)
-    apart = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity"))).alias("apart")
-    ids = [_lid("x").alias("lx"), _lid("y").alias("ly"), apart]
     marked = each.where(F.col("token").bitwiseAND(F.lit(_SPLIT_TOKEN)) != 0)
     crowded = checkpointed(marked.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > SPLIT).select("token", F.ceil(F.col("c") / SPLIT).cast("int").alias("salts")))
     if crowded.isEmpty():
-        return each.alias("x").join(each.alias("y"), both).select(ids).distinct()
+        return counted_pairs([each.alias("x").join(each.alias("y"), both)], t)
     table_ = small(crowded, SETTLED_ROWS)  # entries / SPLIT rows at most
     rest = each.join(table_, "token", "left_anti")
     dealt = each.join(table_, "token")
     x = dealt.withColumn("salt", F.pmod(F.xxhash64("at"), F.col("salts")).cast("int")).alias("x")
     y = dealt.where(F.col("at").bitwiseAND(F.lit(1)) == 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-    return rest.alias("x").join(rest.alias("y"), both).select(ids).unionByName(x.join(y, both & (F.col("x.salt") == F.col("y.salt"))).select(ids)).distinct()
-
-
-def enough_in_common(pairs: DataFrame, firsts: DataFrame, t: float) -> DataFrame:
-    """pairs(lx, ly, ...) whose prefixes have as many tokens in common as those of similar lines have at least: what is common after the prefix
-    that ends first is no more than what that line has left. It leaves out nearly all pairs of long lines, whose bitmaps say little."""
-    own = firsts.select("lid", "n", F.filter("prefix", lambda x: x.isNotNull()).alias("p"))
-    side = lambda s: own.select(F.col("lid").alias(f"l{s}"), F.col("n").alias(f"n{s}"), F.col("p").alias(f"p{s}"))
-    both = pairs.join(side("x"), "lx").join(side("y"), "ly")
-    nx, ny = F.col("nx"), F.col("ny")
-    need = F.ceil((nx + ny) * (t / (1 + t)) - 1e-9)
-    enough = F.size(F.array_intersect("px", "py")) >= need - F.greatest(nx - _prefix(nx, t), ny - _prefix(ny, t))
-    return both.where(enough).select(*pairs.columns)
+    return counted_pairs([rest.alias("x").join(rest.alias("y"), both), x.join(y, both & (F.col("x.salt") == F.col("y.salt")))], t)
 
 
 def thinning_pairs(firsts: DataFrame, t: float) -> DataFrame | None:
     """Pairs (lx, ly) of equal size: each line of a crowd with the first line of each of REPRESENTATIVES hash classes of its crowds; None if
-    there are none. A crowd is a (token, size) group, the token being the least or the greatest of those of the prefix that occur CROWD
+    there are none. A crowd is a (token, size) group, the token being the first or the last of those of the prefix that occur CROWD
     times or more. Counts and first lines come
     from partial aggregates, so no task holds a crowd."""
-    # Most tokens have no mark and so are in fewer than CROWD lines; counting those would cost more than all the rest here.
-    often = firsts.where(_joins(t)).select("lid", "n", "parity", F.filter("prefix", lambda x: x.bitwiseAND(F.lit(_CROWD_TOKEN)) != 0).alias("often")).where(F.size("often") > 0)
-    ends = often.select("lid", "n", "parity", F.array_min("often").alias("least"), F.array_max("often").alias("greatest"))
-    each = F.explode(F.when(F.col("least") == F.col("greatest"), F.array("least")).otherwise(F.array("least", "greatest"))).alias("token")
+    # Most tokens have no mark and so are in fewer than CROWD lines; counting those would cost more than all the rest here. A mark sorted in among
+    # the ordered tokens says where the marked ones begin, without a lambda.
+    mark = F.lit(_CROWD << 56)
+    begun = firsts.where(_joins(t) & (F.try_element_at("prefix", F.lit(-1)) > mark)).select("lid", "n", "parity", "prefix", F.array_position(F.sort_array(F.array_append("prefix", mark)), mark).cast("int").alias("unmarked"))
+    ends = begun.select("lid", "n", "parity", F.try_element_at("prefix", F.col("unmarked")).alias("first"), F.try_element_at("prefix", F.lit(-1)).alias("last"))
+    each = F.explode(F.when(F.col("first") == F.col("last"), F.array("first")).otherwise(F.array("first", "last"))).alias("token")
     lines = ends.select("lid", "n", "parity", each)
     crowds = checkpointed(lines.groupBy("token", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= CROWD).select("token", "n"))
     if crowds.isEmpty():
@@ -238,12 +269,14 @@ def verified(pairs: DataFrame, firsts: DataFrame, docs: DataFrame, t: float) ->
     wanted = checkpointed(pairs.select(F.col("lx").alias("lid")).unionByName(pairs.select(F.col("ly").alias("lid"))).distinct())
     places = checkpointed(firsts.select("lid", *_PLACE).join(small(wanted, SETTLED_ROWS), "lid", "left_semi"))
     released(docs.sparkSession)
-    rows = lines_of(docs)
+    # Only texts with such lines are split, and only such lines tokenized.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(text_or_empty()).alias("th"))
     if places.count() <= PLACES:
-        places = F.broadcast(places)
+        own, places = F.broadcast(places.select("doc_id", "th").distinct()), F.broadcast(places)
+        rows = lines_of(texts.alias("d").join(own.alias("o"), F.col("d.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("d.th") == F.col("o.th")), "left_semi"))
     else:
-        # Only lines whose bit is set are tokenized and shuffled; the join then settles which are wanted.
-        rows = maybe_in(rows, places, "line_no", "th")
+        # What has no bit set is left out before the shuffle; the join then settles which lines are wanted.
+        rows = maybe_in(lines_of(maybe_in(texts, places, "th")), places, "line_no", "th")
     at = rows.alias("l").join(places.alias("p"), F.col("l.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("l.line_no") == F.col("p.line_no")) & (F.col("l.th") == F.col("p.th")))
     sets = at.select("p.lid", F.sort_array(_hashes(_plain(F.col("line")))).alias("set")).dropDuplicates(["lid"])
     both = pairs.join(sets.select(F.col("lid").alias("lx"), F.col("set").alias("sx")), "lx").join(sets.select(F.col("lid").alias("ly"), F.col("set").alias("sy")), "ly")
@@ -264,13 +297,14 @@ def later_lines(firsts: DataFrame, docs: DataFrame, t: float) -> DataFrame:
         marked = firsts.join(small(found[0].withColumn("hit", F.lit(True)), SETTLED_ROWS), "lid", "left").withColumn("open", F.col("hit").isNull())
     pairs = checkpointed(similar_pairs(marked, t))
     released(spark)
-    pairs = checkpointed(enough_in_common(pairs, firsts, t))
-    released(spark)
-    # Most lines are settled by the pair that differs least; the others' pairs are verified, all of them, after that.
     best = pairs.groupBy("ly").agg(F.min(F.struct("apart", "lx")).alias("b")).select("b.lx", "ly")
-    found.append(verified(best, firsts, docs, t))
-    rest = pairs.join(small(found[-1].withColumnRenamed("lid", "ly"), SETTLED_ROWS), "ly", "left_anti").join(best, ["lx", "ly"], "left_anti")
-    found.append(verified(rest.select("lx", "ly"), firsts, docs, t))
+    if pairs.count() <= FEW * best.count():
+        found.append(verified(pairs.select("lx", "ly"), firsts, docs, t))
+    else:
+        # Most lines are settled by the pair that differs least; the others' pairs are verified, all of them, after that.
+        found.append(verified(best, firsts, docs, t))
+        rest = pairs.join(small(found[-1].withColumnRenamed("lid", "ly"), SETTLED_ROWS), "ly", "left_anti").join(best, ["lx", "ly"], "left_anti")
+        found.append(verified(rest.select("lx", "ly"), firsts, docs, t))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
